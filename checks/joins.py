@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.base import Tables, now, query, r6, ts_text
+from checks.base import Tables, now, query, ts_text
 from checks.projections import ALL_FACT_TEXT, fact_text
 from marquee.functions import lookups
 from marquee.operators import catalog, enrich, lifecycle, marts
@@ -397,10 +397,10 @@ def _(t: Tables):
     return marts.target_high_water(t.fact(), now()).select(ts_text("high_water").alias("high_water"))
 
 
-@query("target_high_water_empty", "SELECT '1970-01-01 00:00:00.000000' AS high_water")
+@query("target_high_water_empty", """
+    SELECT strftime(coalesce(max(ingestion_timestamp), TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S.%f') AS high_water
+    FROM fact WHERE ingestion_timestamp > TIMESTAMP '2024-01-31' + INTERVAL 397 DAY""")
 def _(t: Tables):
     later = now() + F.expr("INTERVAL 400 DAYS")
     return marts.target_high_water(t.fact(), later).select(ts_text("high_water").alias("high_water"))
 
-
-_ = r6

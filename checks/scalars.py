@@ -203,7 +203,7 @@ def _(t: Tables):
 @query("month_grid", """
     SELECT CAST(month_start AS VARCHAR) AS month_start, CAST(cell AS INTEGER) AS cell,
            CASE WHEN date_trunc('month', monday + cell) = month_start THEN CAST(CAST(monday + cell AS DATE) AS VARCHAR) END AS day
-    FROM (SELECT month_start, monday, unnest(range(0, CAST(7 * ceil((last_day(month_start) - monday + 1) / 7.0) AS INTEGER))) AS cell
+    FROM (SELECT month_start, monday, CAST(unnest(range(0, CAST(7 * ceil((last_day(month_start) - monday + 1) / 7.0) AS INTEGER))) AS INTEGER) AS cell
           FROM (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS month_start,
                        CAST(date_trunc('week', date_trunc('month', l_shipdate)) AS DATE) AS monday FROM lineitem))""")
 def _(t: Tables):
