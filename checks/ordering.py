@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from checks.base import Tables, query, ts_text
 from checks.joins import nation_cache, nation_keys
@@ -120,25 +119,25 @@ def _(t: Tables):
 
 
 @query("sort_places", """
-    SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY
-               CASE WHEN d IS NULL OR d = 0 THEN 9999 ELSE d END, o_orderkey) AS places
-    FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey * 7919 % 20 * 600 END AS d FROM orders)
-    GROUP BY o_custkey""")
+    SELECT o_orderkey, string_agg(CAST(i AS VARCHAR), ',' ORDER BY CASE WHEN d IS NULL OR d = 0 THEN 9999 ELSE d END, i) AS places
+    FROM (SELECT o_orderkey, i, CASE WHEN (o_orderkey + i) % 4 <> 3 THEN (o_orderkey * 7919 + i * 31) % 20 * 600 END AS d
+          FROM orders, range(0, 6) r(i))
+    GROUP BY o_orderkey""")
 def _(t: Tables):
-    # Orders stand for the places of a venue; some lie 0 m away, some at an unknown distance, some beyond 9999 m.
+    # Six places per order; some lie 0 m away, some at an unknown distance, some beyond 9999 m.
     key = F.col("o_orderkey")
-    place = F.struct(key.alias("id"), F.when(key % 4 != 3, key * 7919 % 20 * 600).alias("distance_m"))
-    rows = t.read("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(place)).alias("places"))
-    ids = F.transform(catalog.sort_places(F.col("places")), lambda p: p["id"].cast("string"))
-    return rows.select("o_custkey", F.array_join(ids, ",").alias("places"))
+    place = lambda i: F.struct(
+        F.lit(i).alias("id"), F.when((key + i) % 4 != 3, (key * 7919 + i * 31) % 20 * 600).alias("distance_m"))
+    ids = F.transform(catalog.sort_places(F.array(*[place(i) for i in range(6)])), lambda p: p["id"].cast("string"))
+    return t.read("orders").select("o_orderkey", F.array_join(ids, ",").alias("places"))
 
 
 @query("deck", """
-    SELECT id FROM (SELECT * FROM keyed ORDER BY starts_at ASC NULLS FIRST, id LIMIT 50)
-    WHERE id NOT IN (SELECT event_id FROM saved WHERE user_id = '7')
-    QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY starts_at NULLS FIRST, id) = 1""")
+    SELECT id FROM (
+        SELECT * FROM (SELECT * FROM keyed ORDER BY starts_at ASC NULLS FIRST, id LIMIT 50)
+        QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY starts_at NULLS FIRST, id) = 1)
+    WHERE id NOT IN (SELECT event_id FROM saved WHERE user_id = '7')""")
 def _(t: Tables):
-    # Saved ids of the user are taken from the whole page, after one card per show was chosen.
     return catalog.deck(t.catalog(), t.saved(), "7").select("id")
 
 
@@ -174,5 +173,3 @@ def _(t: Tables):
     source = rows.filter(~F.col("liked")).drop("liked").withColumn("device", F.lit("phone"))
     return marts.additive_schema(rows.filter("liked").drop("liked"), source)
 
-
-_ = T
