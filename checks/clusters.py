@@ -1,0 +1,155 @@
+"""Scaling and cluster measures on a labelled feature matrix, and the K-Means sweep on user features."""
+
+from __future__ import annotations
+
+
+from checks.aggregates import rounded
+from checks.base import EMBEDDING, Tables, query
+from marquee.operators import clustering, features
+from marquee.plans.user_segments import prepared_features
+from marquee.scale import durable
+
+SCALED = ", ".join(f"round((CAST({e} AS DOUBLE) - avg({e}) OVER ()) / stddev_pop({e}) OVER (), 6) + 0.0 AS {e}" for e in EMBEDDING)
+
+
+@query("scale_features", f"SELECT vec_id, {SCALED} FROM matrix")
+def _(t: Tables):
+    return rounded(clustering.scale_features(t.embeddings().drop("label"), EMBEDDING), ("vec_id",))
+
+
+MEANS = ", ".join(f"avg({e}) AS {e}" for e in EMBEDDING)
+CENTRE = "[" + ", ".join(f"avg({e})" for e in EMBEDDING) + "]"
+CENTROIDS = f"SELECT label, count(*) AS n, {CENTRE} AS c FROM matrix GROUP BY label"
+
+
+@query("inertia", f"""
+    WITH c AS ({CENTROIDS}) SELECT round(sum(pow(list_distance(x, c), 2)), 6) AS inertia FROM matrix JOIN c USING (label)""")
+def _(t: Tables):
+    return rounded(clustering.inertia(t.embeddings(), EMBEDDING))
+
+
+@query("silhouette", """
+    WITH sizes AS (SELECT label, count(*) AS n FROM matrix GROUP BY label),
+    d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS total
+          FROM matrix a, matrix b GROUP BY 1, 2, 3),
+    s AS (SELECT vec_id, max(CASE WHEN d.label = other THEN n END) AS n,
+                 max(CASE WHEN d.label = other THEN total / nullif(n - 1, 0) END) AS a,
+                 min(CASE WHEN d.label <> other THEN total / n END) AS b
+          FROM d JOIN sizes ON sizes.label = d.other GROUP BY vec_id)
+    SELECT round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM s""")
+def _(t: Tables):
+    # Small blocks, so that the work is split over several pairs of groups even on a small table.
+    return rounded(clustering.silhouette(t.embeddings(), EMBEDDING, block_rows=200))
+
+
+@query("squared_silhouette", """
+    WITH sizes AS (SELECT label, count(*) AS n FROM matrix GROUP BY label),
+    d AS (SELECT a.vec_id, a.label, b.label AS other, sum(pow(list_distance(a.x, b.x), 2)) AS total
+          FROM matrix a, matrix b GROUP BY 1, 2, 3),
+    s AS (SELECT vec_id, max(CASE WHEN d.label = other THEN n END) AS n,
+                 max(CASE WHEN d.label = other THEN total / nullif(n - 1, 0) END) AS a,
+                 min(CASE WHEN d.label <> other THEN total / n END) AS b
+          FROM d JOIN sizes ON sizes.label = d.other GROUP BY vec_id)
+    SELECT round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM s""")
+def _(t: Tables):
+    return rounded(clustering.squared_silhouette(t.embeddings(), EMBEDDING))
+
+
+@query("calinski_harabasz", f"""
+    WITH c AS ({CENTROIDS}), g AS (SELECT {CENTRE} AS c, count(*) AS n FROM matrix),
+    b AS (SELECT sum(c.n * pow(list_distance(c.c, g.c), 2)) AS between_, count(*) AS k FROM c, g),
+    w AS (SELECT sum(pow(list_distance(x, c), 2)) AS within_ FROM matrix JOIN c USING (label))
+    SELECT round((between_ / (k - 1)) / (within_ / (n - k)), 6) AS calinski_harabasz FROM b, w, g""")
+def _(t: Tables):
+    return rounded(clustering.calinski_harabasz(t.embeddings(), EMBEDDING))
+
+
+@query("davies_bouldin", f"""
+    WITH c AS ({CENTROIDS}), s AS (SELECT label, avg(list_distance(x, c)) AS s, any_value(c) AS c FROM matrix JOIN c USING (label) GROUP BY label)
+    SELECT round(avg(worst), 6) AS davies_bouldin FROM (
+        SELECT i.label, max((i.s + j.s) / list_distance(i.c, j.c)) AS worst FROM s i JOIN s j ON i.label <> j.label GROUP BY i.label)""")
+def _(t: Tables):
+    return rounded(clustering.davies_bouldin(t.embeddings(), EMBEDDING))
+
+
+@query("cluster_profiles", f"SELECT label, {', '.join(f'round({e}, 6) + 0.0 AS {e}' for e in EMBEDDING)} FROM (SELECT label, {MEANS} FROM matrix GROUP BY label)")
+def _(t: Tables):
+    return rounded(clustering.cluster_profiles(t.embeddings(), EMBEDDING), ("label",))
+
+
+@query("cluster_sizes", """
+    SELECT label, users, round(users / sum(users) OVER (), 6) AS share FROM (SELECT label, count(*) AS users FROM matrix GROUP BY 1)""")
+def _(t: Tables):
+    return rounded(clustering.cluster_sizes(t.embeddings()), ("label",))
+
+
+LONG = f"UNPIVOT (SELECT label, {MEANS} FROM matrix GROUP BY label) ON {', '.join(EMBEDDING)} INTO NAME feature VALUE mean"
+GLOBAL = f"UNPIVOT (SELECT {MEANS} FROM matrix) ON {', '.join(EMBEDDING)} INTO NAME feature VALUE overall"
+
+
+@query("top_traits", f"""
+    WITH l AS (FROM ({LONG})), g AS (FROM ({GLOBAL})),
+    d AS (SELECT label, feature, mean - overall AS delta FROM l JOIN g USING (feature))
+    SELECT label, direction, CAST(rank AS INTEGER) AS rank, feature, round(delta, 6) + 0.0 AS delta_vs_global_mean FROM (
+        SELECT *, 'positive' AS direction, row_number() OVER (PARTITION BY label ORDER BY delta DESC, feature) AS rank FROM d
+        UNION ALL
+        SELECT *, 'negative', row_number() OVER (PARTITION BY label ORDER BY delta, feature) FROM d)
+    WHERE rank <= 5""")
+def _(t: Tables):
+    return rounded(clustering.top_traits(t.embeddings(), EMBEDDING), ("label",))
+
+
+@query("canonical_labels", """
+    WITH o AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, avg(e0)) - 1 AS rank FROM matrix GROUP BY label)
+    SELECT vec_id, CAST(rank AS INTEGER) AS label FROM matrix JOIN o USING (label)""")
+def _(t: Tables):
+    return clustering.canonical_labels(t.embeddings(), EMBEDDING).select("vec_id", "label")
+
+
+def swept(t: Tables):
+    """Prepared and scaled user features with the sweep's result. Fewer starts than the default, to keep checks short."""
+    users = durable(prepared_features(t.clean()))
+    columns = features.feature_columns(users)
+    scaled = durable(clustering.scale_features(users, columns))
+    metrics, models = clustering.sweep_k(scaled, columns, ks=range(2, 6), n_init=3, parallelism=8)
+    return users, scaled, columns, metrics, models
+
+
+@query("sweep_k")
+def _(t: Tables):
+    return rounded(swept(t)[3], ("k",))
+
+
+@query("select_k")
+def _(t: Tables):
+    metrics = swept(t)[3]
+    return t.spark.createDataFrame([(clustering.select_k(metrics),)], "best_k int")
+
+
+@query("assignments")
+def _(t: Tables):
+    _users, scaled, columns, metrics, models = swept(t)
+    return clustering.assignments(models[clustering.select_k(metrics)], scaled, columns).select("user_id", "label")
+
+
+@query("centroids_scaled")
+def _(t: Tables):
+    _users, _scaled, columns, metrics, models = swept(t)
+    return rounded(clustering.centroids_scaled(models[clustering.select_k(metrics)], t.spark, columns), ("label",))
+
+
+@query("interpretation")
+def _(t: Tables):
+    rows = t.embeddings()
+    return clustering.interpretation(clustering.top_traits(rows, EMBEDDING), clustering.cluster_sizes(rows))
+
+
+@query("report")
+def _(t: Tables):
+    users, scaled, columns, metrics, models = swept(t)
+    labels = clustering.assignments(models[clustering.select_k(metrics)], scaled, columns).select("user_id", "label")
+    labelled = durable(users.join(labels, "user_id"))
+    return clustering.report(metrics, clustering.cluster_sizes(labelled), clustering.top_traits(labelled, columns),
+                             features.cleaning_report(t.fact()))
+
+
