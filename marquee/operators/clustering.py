@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from marquee.scale import durable
 
 BLOCK_ROWS = 20_000  # rows on each side of one silhouette task
+ROWS_PER_PARTITION = 20_000
 
 
 def scale_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,11 +39,21 @@ def scale_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 # Measures for given labels
+#
+# A frame may carry several clusterings, one label column each. They are measured together, so that
+# distances between rows are worked out once for all of them.
 
-def _label_stats(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+def _long(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """One row per row and clustering: the features, `clustering` (the label column's name) and `label`."""
+    typed = df.select(*[F.col(name).cast("double").alias(name) for name in columns],
+                      *[F.col(name).cast("string").alias(name) for name in labels])
+    return typed.unpivot(list(columns), list(labels), "clustering", "label")
+
+
+def _label_stats(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """One row per cluster: size, centroid and the sum of squared distances to it, in one pass."""
     spread = sum((F.var_pop(name) for name in columns[1:]), F.var_pop(columns[0]))
-    return df.groupBy(F.col(label).alias("label")).agg(
+    return _long(df, columns, labels).groupBy("clustering", "label").agg(
         F.count("*").alias("n"),
         F.array(*[F.avg(name) for name in columns]).alias("centroid"),
         (spread * F.count("*")).alias("within"),
@@ -53,41 +64,42 @@ def _squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d)
 
 
-def inertia(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
-    """Sum of squared distances to the own centroid. Needs no join: it is a sum of variances."""
-    return _label_stats(df, columns, label).agg(F.sum("within").alias("inertia"))
+def _cluster_key(clustering: str = "clustering", label: str = "label") -> Column:
+    return F.concat_ws("\u0001", F.col(clustering), F.col(label))
 
 
-def calinski_harabasz(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
-    """(between / (k - 1)) / (within / (n - k))."""
-    stats = _label_stats(df, columns, label)
+def _by_cluster(stats: DataFrame, value: str) -> Column:
+    """Scalar map cluster -> value. It has one entry per cluster and is all that travels to the rows."""
+    return stats.agg(F.map_from_entries(F.collect_list(F.struct(_cluster_key(), F.col(value))))).scalar()
+
+
+def _inertia(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    return _label_stats(df, columns, labels).groupBy("clustering").agg(F.sum("within").alias("inertia"))
+
+
+def _calinski_harabasz(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    stats = _label_stats(df, columns, labels)
     centre = F.array(*[F.sum(F.col("n") * F.col("centroid")[i]) / F.sum("n") for i in range(len(columns))])
-    # The clusters are few: one row holds them all.
-    whole = stats.agg(
+    # The clusters of a clustering are few: one row holds them all.
+    whole = stats.groupBy("clustering").agg(
         F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("within").alias("within"), centre.alias("centre"),
         F.collect_list(F.struct("n", "centroid")).alias("clusters"))
     between = F.aggregate(
         "clusters", F.lit(0.0),
         lambda acc, cluster: acc + cluster["n"] * _squared_distance(cluster["centroid"], F.col("centre")))
     ratio = (between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
-    return whole.select(F.when(F.col("within") > 0, ratio).otherwise(F.lit(1.0)).alias("calinski_harabasz"))
-
+    return whole.select("clustering", F.when(F.col("within") > 0, ratio).otherwise(F.lit(1.0)).alias("calinski_harabasz"))
 
-def _centroids(df: DataFrame, columns: Sequence[str], label: str) -> Column:
-    """Scalar map label -> centroid. It has one entry per cluster and is all that travels to the rows."""
-    stats = _label_stats(df, columns, label)
-    return stats.agg(F.map_from_entries(F.collect_list(F.struct("label", "centroid")))).scalar()
 
-
-def davies_bouldin(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
-    """Mean over clusters of the worst (spread + spread) / distance with another cluster."""
-    placed = df.withColumn("_centroids", _centroids(df, columns, label)).select(
-        F.col(label).alias("label"), F.array(*[F.col(name).cast("double") for name in columns]).alias("x"),
-        F.try_element_at("_centroids", F.col(label)).alias("centroid"))
-    spreads = placed.groupBy("label").agg(
+def _davies_bouldin(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    centroids = _by_cluster(_label_stats(df, columns, labels), "centroid")
+    placed = _long(df, columns, labels).withColumn("_centroids", centroids).select(
+        "clustering", "label", F.array(*columns).alias("x"), F.try_element_at("_centroids", _cluster_key()).alias("centroid"))
+    spreads = placed.groupBy("clustering", "label").agg(
         F.avg(F.sqrt(_squared_distance(F.col("x"), F.col("centroid")))).alias("spread"),
         F.first("centroid").alias("centroid"))
-    clusters = spreads.agg(F.collect_list(F.struct("label", "spread", "centroid")).alias("clusters"))
+    clusters = spreads.groupBy("clustering").agg(
+        F.collect_list(F.struct("label", "spread", "centroid")).alias("clusters"))
 
     def worst(one: Column) -> Column:
         others = F.filter("clusters", lambda other: other["label"] != one["label"])
@@ -96,88 +108,125 @@ def davies_bouldin(df: DataFrame, columns: Sequence[str], label: str = "label")
         return F.coalesce(F.array_max(ratios), F.lit(0.0))
 
     total = F.aggregate("clusters", F.lit(0.0), lambda acc, one: acc + worst(one))
-    return clusters.select((total / F.size("clusters")).alias("davies_bouldin"))
+    return clusters.select("clustering", (total / F.size("clusters")).alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, columns: Sequence[str], label: str = "label", block_rows: int = BLOCK_ROWS
-               ) -> DataFrame:
-    """Mean Euclidean silhouette over all rows, exact.
+def _mean_score(parts: DataFrame) -> DataFrame:
+    """Mean silhouette of rows given own cluster size `n`, own mean distance `a` and nearest other `b`."""
+    score = F.when(F.col("n") > 1, F.coalesce(
+        (F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
+    return parts.groupBy("clustering").agg(F.avg(score).alias("silhouette"))
 
-    Every row meets every other one, so the work grows with the square of the rows. Rows are dealt
-    into g groups and each of the g x g pairs of groups is one task of bounded size; a task gives only
-    sums per row and cluster. For more rows than that allows use `squared_silhouette`.
-    """
-    rows = df.select(F.monotonically_increasing_id().alias("i"), F.col(label).cast("string").alias("label"),
-                     F.array(*[F.col(name).cast("double") for name in columns]).alias("x"))
+
+def _silhouette(df: DataFrame, columns: Sequence[str], labels: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    labels = list(labels)
+    rows = df.select(
+        F.monotonically_increasing_id().alias("i"), F.array(*[F.col(name).cast("string") for name in labels]).alias("labels"),
+        F.array(*[F.col(name).cast("double") for name in columns]).alias("x"))
     rows = durable(rows)  # the row numbers must not change between the two sides
     g = max(1, math.ceil(rows.count() / block_rows))
     part = F.pmod(F.xxhash64("i"), F.lit(g))
     groups = F.sequence(F.lit(0), F.lit(g - 1))
-    left = rows.select("i", "label", "x", part.alias("a"), F.explode(groups).alias("b"))
-    right = rows.select("i", "label", "x", part.alias("b"), F.explode(groups).alias("a"))
+    left = rows.withColumn("a", part).withColumn("b", F.explode(groups))
+    right = rows.withColumn("b", part).withColumn("a", F.explode(groups))
 
     def sums(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"i": [], "label": [], "other": [], "total": []})
-        if one.empty or two.empty:
-            return empty
-        y = np.stack(two["x"].to_numpy())
-        codes, names = pd.factorize(two["label"])
-        member = np.zeros((len(two), len(names)))
-        member[np.arange(len(two)), codes] = 1.0
         pieces = []
-        step = max(1, 4_000_000 // len(two))
+        y = np.stack(two["x"].to_numpy()) if len(two) else np.zeros((0, 0))
+        members = []
+        for c in range(len(labels) if len(two) else 0):
+            codes, names = pd.factorize(two["labels"].map(lambda values, c=c: values[c]))
+            member = np.zeros((len(two), len(names)))
+            member[np.arange(len(two)), codes] = 1.0
+            members.append((member, np.asarray(names)))
+        step = max(1, 4_000_000 // max(len(two), 1))
         for start in range(0, len(one), step):
             piece = one.iloc[start:start + step]
             x = np.stack(piece["x"].to_numpy())
             squares = np.zeros((len(x), len(y)))
-            for column in range(x.shape[1]):
+            for column in range(y.shape[1]):
                 gap = x[:, column, None] - y[None, :, column]
                 squares += gap * gap
-            totals = np.sqrt(squares) @ member
-            pieces.append(pd.DataFrame({
-                "i": np.repeat(piece["i"].to_numpy(), len(names)),
-                "label": np.repeat(piece["label"].to_numpy(), len(names)),
-                "other": np.tile(np.asarray(names), len(piece)),
-                "total": totals.ravel()}))
-        return pd.concat(pieces) if pieces else empty
+            distances = np.sqrt(squares)
+            for c, (member, names) in enumerate(members):
+                pieces.append(pd.DataFrame({
+                    "clustering": labels[c],
+                    "i": np.repeat(piece["i"].to_numpy(), len(names)),
+                    "label": np.repeat(piece["labels"].map(lambda values, c=c: values[c]).to_numpy(), len(names)),
+                    "other": np.tile(names, len(piece)),
+                    "total": (distances @ member).ravel()}))
+        if not pieces:
+            return pd.DataFrame({"clustering": [], "i": [], "label": [], "other": [], "total": []})
+        return pd.concat(pieces)
 
     totals = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(
-        sums, "i long, label string, other string, total double")
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "n")))).scalar()
-    sums_per_row = totals.groupBy("i", "label", "other").agg(F.sum("total").alias("total")).withColumn("_sizes", sizes)
-    n = F.try_element_at("_sizes", F.col("other"))
+        sums, "clustering string, i long, label string, other string, total double")
+    sizes = _by_cluster(_long(df, [], labels).groupBy("clustering", "label").agg(F.count("*").alias("n")), "n")
+    per_row = totals.groupBy("clustering", "i", "label", "other").agg(F.sum("total").alias("total")).withColumn("_sizes", sizes)
+    n = F.try_element_at("_sizes", _cluster_key(label="other"))
     own = F.col("label") == F.col("other")
-    parts = sums_per_row.groupBy("i").agg(
+    return _mean_score(per_row.groupBy("clustering", "i").agg(
         F.max(F.when(own, n)).alias("n"),
         F.max(F.when(own & (n > 1), F.col("total") / (n - 1))).alias("a"),
-        F.min(F.when(~own, F.col("total") / n)).alias("b"))
-    score = F.when(F.col("n") > 1, F.coalesce(
-        (F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
-    return parts.agg(F.avg(score).alias("silhouette"))
+        F.min(F.when(~own, F.col("total") / n)).alias("b")))
 
 
-def squared_silhouette(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
-    """Mean silhouette with squared distances: one pass and no pairs, for any number of rows."""
-    x = F.array(*[F.col(name).cast("double") for name in columns])
+def _squared_silhouette(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
     norm = sum((F.col(name) * F.col(name) for name in columns[1:]), F.col(columns[0]) * F.col(columns[0]))
-    stats = df.groupBy(F.col(label).alias("label")).agg(
+    long = _long(df, columns, labels)
+    stats = long.groupBy("clustering", "label").agg(
         F.count("*").alias("n"), F.array(*[F.sum(name) for name in columns]).alias("sum"), F.sum(norm).alias("norm"))
-    clusters = stats.agg(F.collect_list(F.struct("label", "n", "sum", "norm"))).scalar()
-    given = df.select(F.col(label).alias("label"), x.alias("x"), norm.alias("norm"), clusters.alias("clusters"))
+    clusters = stats.agg(F.collect_list(F.struct("clustering", "label", "n", "sum", "norm"))).scalar()
+    given = long.select("clustering", "label", F.array(*columns).alias("x"), norm.alias("norm"), clusters.alias("clusters"))
 
     def total(cluster: Column) -> Column:
         dot = F.aggregate(F.zip_with("x", cluster["sum"], lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
         return cluster["n"] * F.col("norm") + cluster["norm"] - F.lit(2.0) * dot
 
-    mine = F.filter("clusters", lambda cluster: cluster["label"] == F.col("label"))[0]
-    others = F.filter("clusters", lambda cluster: cluster["label"] != F.col("label"))
-    scored = given.select(
-        mine["n"].alias("n"), (total(mine) / F.nullif(mine["n"] - 1, F.lit(0))).alias("a"),
-        F.array_min(F.transform(others, lambda cluster: total(cluster) / cluster["n"])).alias("b"))
-    score = F.when(F.col("n") > 1, F.coalesce(
-        (F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
-    return scored.agg(F.avg(score).alias("silhouette"))
+    mine = F.filter("clusters", lambda c: (c["clustering"] == F.col("clustering")) & (c["label"] == F.col("label")))[0]
+    others = F.filter("clusters", lambda c: (c["clustering"] == F.col("clustering")) & (c["label"] != F.col("label")))
+    return _mean_score(given.select(
+        "clustering", mine["n"].alias("n"), (total(mine) / F.nullif(mine["n"] - 1, F.lit(0))).alias("a"),
+        F.array_min(F.transform(others, lambda c: total(c) / c["n"])).alias("b")))
+
+
+def inertia(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
+    """Sum of squared distances to the own centroid. Needs no join: it is a sum of variances."""
+    return _inertia(df, columns, [label]).drop("clustering")
+
+
+def calinski_harabasz(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
+    """(between / (k - 1)) / (within / (n - k))."""
+    return _calinski_harabasz(df, columns, [label]).drop("clustering")
+
+
+def davies_bouldin(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
+    """Mean over clusters of the worst (spread + spread) / distance with another cluster."""
+    return _davies_bouldin(df, columns, [label]).drop("clustering")
+
+
+def silhouette(df: DataFrame, columns: Sequence[str], label: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Mean Euclidean silhouette over all rows, exact.
+
+    Every row meets every other one, so the work grows with the square of the rows. Rows are dealt
+    into g groups and each of the g x g pairs of groups is one task of bounded size; a task gives only
+    sums per row and cluster. For more rows than that allows use `squared_silhouette`.
+    """
+    return _silhouette(df, columns, [label], block_rows).drop("clustering")
+
+
+def squared_silhouette(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
+    """Mean silhouette with squared distances: one pass and no pairs, for any number of rows."""
+    return _squared_silhouette(df, columns, [label]).drop("clustering")
+
+
+def measures(df: DataFrame, columns: Sequence[str], labels: Sequence[str], metric: str = "euclidean") -> DataFrame:
+    """All four measures of several clusterings, one row per label column."""
+    score = _squared_silhouette if metric == "squared" else _silhouette
+    result = _inertia(df, columns, labels)
+    for part in (score(df, columns, labels), _calinski_harabasz(df, columns, labels), _davies_bouldin(df, columns, labels)):
+        result = result.join(part, "clustering")
+    return result
 
 
 # Fitting
@@ -188,9 +237,7 @@ def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def assignments(model: KMeansModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds each row's `label`."""
-    placed = model.setPredictionCol("label").transform(assemble(df, columns)) if "features" not in df.columns \
-        else model.setPredictionCol("label").transform(df)
-    return placed.drop("features")
+    return model.setPredictionCol("label").transform(assemble(df, columns)).drop("features")
 
 
 def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 9), seed: int = 42, n_init: int = 20,
@@ -202,13 +249,14 @@ def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2,
     is skipped. `metric="squared"` takes the silhouette that needs no pairs of rows. The starts of
     all k are independent jobs and run `parallelism` at a time over one checkpointed matrix.
     """
-    spark = df.sparkSession
     matrix = durable(assemble(df, columns))
     n = matrix.count()
     valid = [k for k in ks if 2 <= k < n]
     if not valid:
         raise ValueError("No valid k to fit.")
-    vectors = matrix.select("features").persist()
+    # A fit is many short jobs over the matrix, so a small matrix should not be in many partitions.
+    parts = min(matrix.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_PARTITION))
+    vectors = matrix.select("features").coalesce(parts).persist()
 
     def fit(task: tuple[int, int]) -> tuple[int, float, KMeansModel]:
         k, start = task
@@ -220,26 +268,20 @@ def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2,
             fitted = pool.map(inheritable_thread_target(fit), [(k, start) for k in valid for start in range(n_init)])
     finally:
         vectors.unpersist()
-    models: dict[int, KMeansModel] = {}
-    costs: dict[int, float] = {}
+    best: dict[int, tuple[float, KMeansModel]] = {}
     for k, cost, model in fitted:
-        if k not in costs or cost < costs[k]:
-            costs[k], models[k] = cost, model
-
-    measure = squared_silhouette if metric == "squared" else silhouette
-    rows = []
-    for k in valid:
-        labelled = assignments(models[k], matrix, columns)
-        found = labelled.agg(F.count_distinct("label")).first()[0]
-        rows.append((
-            k, found, float(costs[k]),
-            measure(labelled, columns).first()[0],
-            calinski_harabasz(labelled, columns).first()[0],
-            davies_bouldin(labelled, columns).first()[0]))
-    metrics = spark.createDataFrame(
-        rows, "k int, n_clusters long, inertia double, silhouette double, calinski_harabasz double, "
-              "davies_bouldin double")
-    return metrics, models
+        if k not in best or cost < best[k][0]:
+            best[k] = (cost, model)
+
+    labelled, names = matrix, {f"k{k}": k for k in valid}
+    for name, k in names.items():
+        labelled = best[k][1].setPredictionCol(name).transform(labelled)
+    labelled = durable(labelled.select(*columns, *names))
+    counts = _long(labelled, [], list(names)).groupBy("clustering").agg(F.count_distinct("label").alias("n_clusters"))
+    metrics = measures(labelled, columns, list(names), metric).join(counts, "clustering")
+    return durable(metrics.select(
+        F.substring("clustering", 2, 10).cast("int").alias("k"), "n_clusters", "inertia", "silhouette",
+        "calinski_harabasz", "davies_bouldin")), {k: model for k, (_, model) in best.items()}
 
 
 def select_k(metrics: DataFrame) -> int:
