@@ -56,7 +56,7 @@ def raw_events(t: Tables) -> DataFrame:
                 F.array(image("3_2", F.lit(305), 5)).alias("images")))).alias("attractions")).alias("_embedded"),
         images.alias("images"), F.struct(F.lit("Promoter").alias("name")).alias("promoter"),
         F.lit(None).cast("string").alias("description"))
-    return nested.select(F.from_json(F.to_json(F.struct("*")), RAW_EVENT).alias("e")).select("e.*")
+    return nested.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_EVENT.fields])
 
 
 GOOD_RAW = "CAST(id AS BIGINT) % 47 <> 3 AND CAST(id AS BIGINT) % 53 <> 5"

@@ -216,13 +216,10 @@ def user_features(df: DataFrame, segments: Sequence[str] | None = None, contexts
                   ) -> DataFrame:
     """All features of every user: 17 fixed ones, two per segment and one per context.
 
-    Rows are first counted per (user, facet, value) and then per user, so one scan and two
-    pre-aggregated shuffles give every distinct count, entropy and share, and no user's rows ever meet
-    in one task. An input without rows gives no users.
+    Rows are counted once per (user, facet, value); that table is checkpointed, and all features,
+    the segments and the contexts come from it. So the interactions are read once, both shuffles are
+    pre-aggregated, and no user's rows ever meet in one task. An input without rows gives no users.
     """
-    segment_names = slug_names(df, segments if segments is not None else distinct_values(df, "segment"))
-    context_names = slug_names(
-        df, contexts if contexts is not None else distinct_values(df, "recommendation_context"))
     facets = ["segment", "genre", "city", "recommendation_context", "session_id", "event_id"]
     long = df.select(
         "user_id", "liked", "avg_price", "days_until_event", "event_timestamp",
@@ -240,6 +237,13 @@ def user_features(df: DataFrame, segments: Sequence[str] | None = None, contexts
         F.min("event_timestamp").alias("first"),
         F.max("event_timestamp").alias("last"),
     )
+    cells = durable(cells)
+
+    def names(facet: str) -> dict[str, str]:
+        return slug_names(df, distinct_values(cells.filter(F.col("facet") == facet), "value"))
+
+    segment_names = names("segment") if segments is None else slug_names(df, segments)
+    context_names = names("recommendation_context") if contexts is None else slug_names(df, contexts)
 
     n, likes, value = F.col("n"), F.col("likes"), F.col("value")
 
@@ -280,7 +284,7 @@ def user_features(df: DataFrame, segments: Sequence[str] | None = None, contexts
 
     rows = F.col("total_swipes").cast("double")
     dislikes = F.col("total_swipes") - F.col("likes")
-    newest = df.agg(F.max("event_timestamp")).scalar()
+    newest = cells.agg(F.max("last")).scalar()
 
     def mean(amount: str, count: Column) -> Column:
         return F.when(count > 0, F.col(amount).cast("double") / count)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.instants import iso_text, parse_instant
-from marquee.functions.values import variant_scalar
+from marquee.functions.values import json_value
 from marquee.scale import top_per_key
 
 PAYLOAD_FIELDS = ["event_id", "direction", "swiped_at", "dwell_ms", "session_id", "recommendation_context"]
@@ -31,36 +31,40 @@ def build_envelope(df: DataFrame, user: Column, now: Column) -> DataFrame:
     return df.select("*", data.alias("data"), F.map_from_entries(present).alias("attributes"))
 
 
-def stage_interactions(raw: DataFrame) -> DataFrame:
-    """Envelopes -> ten typed columns. The body is parsed once per row; bad JSON gives NULL columns."""
-    parsed = raw.select("message_id", "publish_time", F.try_parse_json("data").alias("doc"))
+MESSAGE_FIELDS = ["swiped_at", "user_id", "session_id", "event_id", "interaction_type", "direction",
+                  "recommendation_context"]
+
+
+def message_fields(raw: DataFrame) -> DataFrame:
+    """Adds the body's fields as text columns; objects, arrays, JSON null and bad JSON give NULL.
+
+    One generator reads all fields in a single pass over the body, and filters on them cannot be moved
+    below it, where they would parse the body again. The generator also gives objects and arrays as
+    text, so a value that looks like one is checked, which hardly ever happens.
+    """
+    found = raw.select("*", F.json_tuple("data", *MESSAGE_FIELDS).alias(*[f"_{name}" for name in MESSAGE_FIELDS]))
+
+    def scalar(name: str) -> Column:
+        text = F.col(f"_{name}")
+        return F.when(text.rlike(r"^[\[{]"), json_value(F.col("data"), f"$.{name}")).otherwise(text).alias(name)
 
-    def field(name: str) -> Column:
-        return variant_scalar(F.col("doc"), f"$.{name}")
+    return found.select(*raw.columns, *[scalar(name) for name in MESSAGE_FIELDS])
 
-    fields = parsed.select(
+
+def stage_interactions(raw: DataFrame) -> DataFrame:
+    """Envelopes -> ten typed columns. Bad JSON gives NULL columns."""
+    direction = F.col("direction")
+    return message_fields(raw.select("message_id", "publish_time", "data")).select(
         F.col("message_id").alias("interaction_id"),
-        field("swiped_at").alias("swiped_at"),
-        field("user_id").alias("user_id"),
-        field("session_id").alias("session_id"),
-        field("event_id").alias("event_id"),
-        field("interaction_type").alias("interaction_type"),
-        field("direction").alias("swipe_direction"),
-        field("recommendation_context").alias("recommendation_context"),
-        F.col("publish_time").alias("ingestion_timestamp"),
-    )
-    return fields.select(
-        "interaction_id",
         parse_instant(F.col("swiped_at")).alias("event_timestamp"),
         "user_id",
         "session_id",
         "event_id",
         F.coalesce("interaction_type", F.lit("swipe")).alias("interaction_type"),
-        "swipe_direction",
-        F.when(F.col("swipe_direction") == "right", True)
-        .when(F.col("swipe_direction") == "left", False).alias("liked"),
+        direction.alias("swipe_direction"),
+        F.when(direction == "right", True).when(direction == "left", False).alias("liked"),
         "recommendation_context",
-        "ingestion_timestamp",
+        F.col("publish_time").alias("ingestion_timestamp"),
     )
 
 

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marquee.functions.instants import parse_instant
-from marquee.functions.values import variant_scalar
 from marquee.operators.marts import latest_interactions, merge_into_path
 from marquee.operators.quality import check_freshness
-from marquee.operators.staging import stage_interactions, valid_messages
+from marquee.operators.staging import MESSAGE_FIELDS, message_fields, stage_interactions, valid_messages
 
 REQUIRED_FIELDS = ["event_id", "user_id", "direction", "swiped_at"]
 
@@ -75,18 +74,14 @@ def stream_merge_fact(stream: DataFrame, target: str, catalog: DataFrame, checkp
     return _finite(writer, available_now).start()
 
 
-def message_error(data: Column) -> Column:
-    """Why a message body cannot become an interaction; NULL for a good one."""
-    doc = F.try_parse_json(data)
-    reasons = [F.when(data.isNull(), "no body"), F.when(doc.isNull(), "body is not JSON")]
-    reasons += [F.when(variant_scalar(doc, f"$.{name}").isNull(), f"no {name}") for name in REQUIRED_FIELDS]
-    reasons.append(F.when(parse_instant(variant_scalar(doc, "$.swiped_at")).isNull(), "swiped_at is not an instant"))
-    return F.coalesce(*reasons)
-
-
 def rejected_messages(raw: DataFrame) -> DataFrame:
     """Envelopes that staging leaves out, with the reason in `error`."""
-    return raw.withColumn("error", message_error(F.col("data"))).filter(F.col("error").isNotNull())
+    missing = F.coalesce(*[F.when(F.col(name).isNull(), f"no {name}") for name in REQUIRED_FIELDS])
+    unreadable = F.when(parse_instant(F.col("swiped_at")).isNull(), "swiped_at is not an instant")
+    reason = F.when(F.col("data").isNull(), "no body").otherwise(F.coalesce(
+        F.when(missing.isNotNull() & F.try_parse_json("data").isNull(), "body is not JSON"), missing, unreadable))
+    taken = message_fields(raw.select(*[name for name in raw.columns if name not in MESSAGE_FIELDS]))
+    return taken.withColumn("error", reason).filter(F.col("error").isNotNull()).drop(*MESSAGE_FIELDS)
 
 
 def stream_dead_letter(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
