@@ -119,56 +119,58 @@ def _mean_score(parts: DataFrame) -> DataFrame:
 
 
 def _silhouette(df: DataFrame, columns: Sequence[str], labels: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    labels = list(labels)
-    rows = df.select(
-        F.monotonically_increasing_id().alias("i"), F.array(*[F.col(name).cast("string") for name in labels]).alias("labels"),
+    sizes = _long(df, [], labels).groupBy("clustering", "label").agg(F.count("*").alias("n"))
+    clusters = sizes.agg(F.array_sort(F.collect_list(F.struct(_cluster_key().alias("key"), "clustering", "n")))).scalar()
+    keys = F.transform("_clusters", lambda cluster: cluster["key"])
+
+    def number(label: str) -> Column:
+        """Position of the row's cluster in the list of all clusters."""
+        return F.array_position(keys, F.concat_ws("\u0001", F.lit(label), F.col(label).cast("string"))).cast("int")
+
+    rows = df.withColumn("_clusters", clusters).select(
+        F.monotonically_increasing_id().alias("i"), F.array(*[number(label) for label in labels]).alias("own"),
         F.array(*[F.col(name).cast("double") for name in columns]).alias("x"))
     rows = durable(rows)  # the row numbers must not change between the two sides
     g = max(1, math.ceil(rows.count() / block_rows))
-    part = F.pmod(F.xxhash64("i"), F.lit(g))
+    # Both sides must have the same type for a and b, or their groups do not meet.
+    part = F.pmod(F.xxhash64("i"), F.lit(g)).cast("int")
     groups = F.sequence(F.lit(0), F.lit(g - 1))
     left = rows.withColumn("a", part).withColumn("b", F.explode(groups))
     right = rows.withColumn("b", part).withColumn("a", F.explode(groups))
 
     def sums(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        pieces = []
-        y = np.stack(two["x"].to_numpy()) if len(two) else np.zeros((0, 0))
-        members = []
-        for c in range(len(labels) if len(two) else 0):
-            codes, names = pd.factorize(two["labels"].map(lambda values, c=c: values[c]))
-            member = np.zeros((len(two), len(names)))
-            member[np.arange(len(two)), codes] = 1.0
-            members.append((member, np.asarray(names)))
-        step = max(1, 4_000_000 // max(len(two), 1))
-        for start in range(0, len(one), step):
-            piece = one.iloc[start:start + step]
-            x = np.stack(piece["x"].to_numpy())
-            squares = np.zeros((len(x), len(y)))
-            for column in range(y.shape[1]):
-                gap = x[:, column, None] - y[None, :, column]
-                squares += gap * gap
-            distances = np.sqrt(squares)
-            for c, (member, names) in enumerate(members):
-                pieces.append(pd.DataFrame({
-                    "clustering": labels[c],
-                    "i": np.repeat(piece["i"].to_numpy(), len(names)),
-                    "label": np.repeat(piece["labels"].map(lambda values, c=c: values[c]).to_numpy(), len(names)),
-                    "other": np.tile(names, len(piece)),
-                    "total": (distances @ member).ravel()}))
-        if not pieces:
-            return pd.DataFrame({"clustering": [], "i": [], "label": [], "other": [], "total": []})
-        return pd.concat(pieces)
+        found: list[tuple] = []
+        if len(one) and len(two):
+            y = np.stack(two["x"].to_numpy())
+            members = []
+            for numbers in np.stack(two["own"].to_numpy()).T:
+                others, codes = np.unique(numbers, return_inverse=True)
+                members.append((others, np.eye(len(others))[codes]))
+            step = max(1, 4_000_000 // len(two))
+            for start in range(0, len(one), step):
+                piece = one.iloc[start:start + step]
+                x, own = np.stack(piece["x"].to_numpy()), np.stack(piece["own"].to_numpy())
+                squares = np.zeros((len(x), len(y)))
+                for column in range(y.shape[1]):
+                    gap = x[:, column, None] - y[None, :, column]
+                    squares += gap * gap
+                distances = np.sqrt(squares)
+                for c, (others, member) in enumerate(members):
+                    found.append((np.repeat(piece["i"].to_numpy(), len(others)), np.repeat(own[:, c], len(others)),
+                                  np.tile(others, len(piece)), (distances @ member).ravel()))
+        names = ["i", "own", "other", "total"]
+        return pd.DataFrame({name: np.concatenate([part[at] for part in found]) if found else np.array([])
+                             for at, name in enumerate(names)})
 
     totals = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(
-        sums, "clustering string, i long, label string, other string, total double")
-    sizes = _by_cluster(_long(df, [], labels).groupBy("clustering", "label").agg(F.count("*").alias("n")), "n")
-    per_row = totals.groupBy("clustering", "i", "label", "other").agg(F.sum("total").alias("total")).withColumn("_sizes", sizes)
-    n = F.try_element_at("_sizes", _cluster_key(label="other"))
-    own = F.col("label") == F.col("other")
-    return _mean_score(per_row.groupBy("clustering", "i").agg(
-        F.max(F.when(own, n)).alias("n"),
-        F.max(F.when(own & (n > 1), F.col("total") / (n - 1))).alias("a"),
-        F.min(F.when(~own, F.col("total") / n)).alias("b")))
+        sums, "i long, own int, other int, total double")
+    per_row = totals.groupBy("i", "own", "other").agg(F.sum("total").alias("total")).withColumn("_clusters", clusters)
+    cluster = F.element_at("_clusters", F.col("other"))
+    n, same = cluster["n"], F.col("own") == F.col("other")
+    return _mean_score(per_row.groupBy(cluster["clustering"].alias("clustering"), "i").agg(
+        F.max(F.when(same, n)).alias("n"),
+        F.max(F.when(same & (n > 1), F.col("total") / (n - 1))).alias("a"),
+        F.min(F.when(~same, F.col("total") / n)).alias("b")))
 
 
 def _squared_silhouette(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
