@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +16,7 @@ from marquee.operators import features
 from marquee.operators.marts import latest_interactions
 from marquee.operators.staging import stage_interactions, valid_messages
 from marquee.plans.interaction_fact import build_fact
+from marquee.scale import shared_folder
 
 NOW = "2024-01-31 00:00:00"
 EMBEDDING = [f"e{i}" for i in range(64)]
@@ -51,10 +50,8 @@ def r6(value: Column | str) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; only without one a local one, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = shared or tempfile.mkdtemp(prefix="checks-")
-    return f"{base.rstrip('/')}/check-{uuid.uuid4().hex}"
+    """A new folder for files that a query writes and reads back."""
+    return shared_folder(spark)
 
 
 class Tables:

@@ -9,6 +9,7 @@ from checks.base import Tables, now, query, ts_text
 from checks.projections import ALL_FACT_TEXT, fact_text
 from marquee.functions import lookups
 from marquee.operators import catalog, enrich, lifecycle, marts
+from marquee.scale import durable
 from marquee.schemas import ARRIVAL_ADVICE, SEMANTIC_FIELDS
 
 
@@ -370,8 +371,9 @@ def _(t: Tables):
     SELECT {ALL_FACT_TEXT}, segment, strftime(ingestion_timestamp, '%Y-%m-%d %H:%M:%S.%f') FROM updates""")
 def _(t: Tables):
     cut = F.lit("2024-01-29 12:00:00").cast("timestamp")
-    target = t.fact().filter(F.col("ingestion_timestamp") <= cut).withColumn("segment", F.lit("old"))
-    merged = marts.merge_incremental(target, t.staged(), t.catalog(), now())
+    staged = durable(t.staged())
+    target = durable(t.fact()).filter(F.col("ingestion_timestamp") <= cut).withColumn("segment", F.lit("old"))
+    merged = marts.merge_incremental(target, staged, t.catalog(), now())
     return fact_text(merged.select(
         "interaction_id", "event_timestamp", "user_id", "session_id", "event_id", "interaction_type", "swipe_direction",
         "liked", "recommendation_context", "segment", "ingestion_timestamp"))
@@ -385,8 +387,8 @@ def _(t: Tables):
     WHERE CAST(interaction_id AS BIGINT) % 3 = 0 AND ingestion_timestamp > TIMESTAMP '2024-01-28'""")
 def _(t: Tables):
     third = F.col("interaction_id").cast("bigint") % 3
-    target = t.fact().filter(third != 0)
-    merged = marts.merge_incremental(target, t.staged(), t.catalog(), now(), strict=False)
+    target = durable(t.fact()).filter(third != 0)
+    merged = marts.merge_incremental(target, durable(t.staged()), t.catalog(), now(), strict=False)
     return merged.select("interaction_id", F.when(third == 0, "added").otherwise("kept").alias("origin"))
 
 

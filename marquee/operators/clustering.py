@@ -249,16 +249,20 @@ def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2,
 
     Returns the measures, one row per k, and the models. A k below 2 or not below the number of rows
     is skipped. `metric="squared"` takes the silhouette that needs no pairs of rows. The starts of
-    all k are independent jobs and run `parallelism` at a time over one checkpointed matrix.
+    all k are independent jobs and run `parallelism` at a time over one stored matrix.
     """
+    spark = df.sparkSession
     matrix = durable(assemble(df, columns))
     n = matrix.count()
     valid = [k for k in ks if 2 <= k < n]
     if not valid:
         raise ValueError("No valid k to fit.")
     # A fit is many short jobs over the matrix, so a small matrix should not be in many partitions.
-    parts = min(matrix.rdd.getNumPartitions(), math.ceil(n / ROWS_PER_PARTITION))
-    vectors = matrix.select("features").coalesce(parts).persist()
+    vectors = matrix.select("features")
+    parts = math.ceil(n / ROWS_PER_PARTITION)
+    if parts < spark.sparkContext.defaultParallelism:
+        vectors = vectors.coalesce(parts)
+    vectors = vectors.persist()
 
     def fit(task: tuple[int, int]) -> tuple[int, float, KMeansModel]:
         k, start = task

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.instants import days_between, elapsed_days
@@ -90,17 +90,9 @@ def clean_interactions(df: DataFrame, order_by: Sequence[Column] | None = None)
 
 
 def cleaning_report(df: DataFrame, order_by: Sequence[Column] | None = None) -> DataFrame:
-    """One row with the eight counters of the cleaning steps, from one pass over the input.
-
-    Duplicates are counted while they are removed: every key keeps its first row and its row count.
-    """
-    order = order_by or _input_order(df)
-    name = "_version"
-    ranks = F.row_number().over(Window.partitionBy("interaction_id").orderBy(*order))
-    sizes = df.groupBy("interaction_id").agg(F.count("*").alias("_copies"))
-    # Counting copies and taking the first row are separate aggregations, so a hot id stays cheap in both.
-    firsts = df.withColumn(name, ranks).filter(F.col(name) == 1).drop(name)
-    judged = repair_price_order(repair_liked(firsts))
+    """One row with the eight counters of the cleaning steps, all taken in one aggregation."""
+    unique = dedupe_first(df, "interaction_id", order_by or _input_order(df))
+    judged = repair_price_order(repair_liked(unique))
     swipe = F.coalesce(F.lower("interaction_type") == "swipe", F.lit(False))
     complete = F.expr(" AND ".join(f"{column} IS NOT NULL" for column in CRITICAL))
     counts = judged.agg(
@@ -112,8 +104,8 @@ def cleaning_report(df: DataFrame, order_by: Sequence[Column] | None = None) ->
         F.count_if(swipe & complete).alias("clean_rows"),
         F.count_distinct(F.when(swipe & complete, F.col("user_id"))).alias("unique_users"),
     )
-    total = sizes.agg(F.sum("_copies").alias("n")).scalar()
-    return counts.select(F.coalesce(total, F.lit(0)).cast("bigint").alias("input_rows"), "*")
+    # On a stored table this count comes from the files' metadata.
+    return counts.select(df.agg(F.count("*")).scalar().alias("input_rows"), "*")
 
 
 # Single feature groups, one row per user
@@ -216,7 +208,7 @@ def user_features(df: DataFrame, segments: Sequence[str] | None = None, contexts
                   ) -> DataFrame:
     """All features of every user: 17 fixed ones, two per segment and one per context.
 
-    Rows are counted once per (user, facet, value); that table is checkpointed, and all features,
+    Rows are counted once per (user, facet, value); that table is written, and all features,
     the segments and the contexts come from it. So the interactions are read once, both shuffles are
     pre-aggregated, and no user's rows ever meet in one task. An input without rows gives no users.
     """
@@ -399,7 +391,7 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
 def impute_features(features: DataFrame) -> DataFrame:
     """Infinite values become NULL; then `avg_*` columns take their median over users and the others 0.
 
-    The features are checkpointed first, as finding the medians reads them more than once.
+    The features are written first, as finding the medians reads them more than once.
     """
     columns, kinds = feature_columns(features), dict(features.dtypes)
     infinite = [float("inf"), float("-inf")]

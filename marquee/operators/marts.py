@@ -39,7 +39,8 @@ def enrich_fact(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
     allows; otherwise a popular event makes a large partition on the interaction side, which adaptive
     execution splits.
     """
-    return interactions.join(unique_catalog(catalog), "event_id", "left")
+    bare = interactions.drop(*CATALOG_COLUMNS)  # a source may carry older values of them
+    return bare.join(unique_catalog(catalog), "event_id", "left")
 
 
 def fact_projection(df: DataFrame) -> DataFrame:
