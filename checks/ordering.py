@@ -60,7 +60,7 @@ def _(t: Tables):
                  UNION ALL SELECT 'user' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0),
     bounds AS (SELECT slug, count(*) AS n FROM new GROUP BY slug),
     candidates AS (SELECT slug, i, CASE WHEN i = 1 THEN slug ELSE slug || '_' || i END AS handle
-                   FROM bounds, range(1, 5000) r(i) WHERE i <= 2 * n + 500),
+                   FROM (SELECT slug, unnest(range(1, 2 * n + 2500)) AS i FROM bounds)),
     free AS (SELECT slug, handle, row_number() OVER (PARTITION BY slug ORDER BY i) AS r FROM candidates
              WHERE handle NOT IN (SELECT username FROM existing)
                AND (i = 1 OR handle NOT IN (SELECT slug FROM bounds)))

@@ -17,7 +17,7 @@ from marquee.functions.instants import iso_text, parse_instant, sort_instant_tex
 from marquee.functions.lookups import lookup_price_level, place_type
 from marquee.functions.text import identity_key, stripped
 from marquee.functions.values import first_or_null, to_number
-from marquee.scale import top_per_key
+from marquee.scale import spread_join, top_per_key
 
 IN_LIST_LIMIT = 10  # the catalogue query takes at most ten segments
 NO_DATE = "—"
@@ -242,7 +242,7 @@ def sibling_occurrences(df: DataFrame, event_ids: DataFrame) -> DataFrame:
     """
     keyed = with_group_key(df)
     wanted = keyed.join(event_ids.select("id").distinct(), "id", "left_semi").select("group_key").distinct()
-    return keyed.join(wanted, "group_key", "left_semi")
+    return spread_join(keyed, wanted, ["group_key"], "left_semi")
 
 
 def build_schedule(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from marquee.functions.geo import EARTH_RADIUS_M, haversine_m, round_key
 from marquee.functions.instants import expiry
 from marquee.functions.lookups import (DEFAULT_COORDINATES, LODGING_KINDS, city_table, lookup_weather_code)
 from marquee.functions.text import cache_id, strip_accents_lower
-from marquee.scale import top_per_key
+from marquee.scale import spread_join, top_per_key
 from marquee.schemas import LODGING, RESTAURANT, SEMANTIC_FIELDS
 
 def fields_complete(required: Sequence[str]) -> Column:
@@ -65,7 +65,7 @@ def cache_aside(df: DataFrame, cache: DataFrame, keys: list[str], valid: Column,
     fresh = answered.filter(something)
 
     answers = merge_hits_misses(usable, fresh)
-    enriched = keyed.join(answers, keys, "left")
+    enriched = spread_join(keyed, answers, keys)
     # Rows without a key skip the join; they would all meet in one partition.
     passed = base.filter(any_null)
     return merge_hits_misses(enriched, passed), fresh
@@ -128,7 +128,7 @@ def enrich_weather(df: DataFrame, forecast: DataFrame) -> DataFrame:
     complete = F.expr("latitude IS NOT NULL AND longitude IS NOT NULL AND event_date IS NOT NULL")
     keyed = df.filter(complete).withColumns({
         "_lat": round_key(F.col("latitude"), 3), "_lng": round_key(F.col("longitude"), 3), "_date": F.col("event_date")})
-    found = keyed.join(unique, ["_lat", "_lng", "_date"], "left").drop("_lat", "_lng", "_date")
+    found = spread_join(keyed, unique, ["_lat", "_lng", "_date"]).drop("_lat", "_lng", "_date")
     return merge_hits_misses(found, df.filter(~complete))
 
 
@@ -235,8 +235,9 @@ def nearby_places(venues: DataFrame, places: DataFrame, radius_m: float, types:
              .select("v_lat", "v_lng", "place_id", distance.alias("distance_m"))
              .filter(F.col("distance_m") <= radius_m))
     nearest = top_k_places(pairs, k, ["v_lat", "v_lng"])
-    return (venues.join(nearest, (venues["latitude"] == nearest["v_lat"]) & (venues["longitude"] == nearest["v_lng"]))
-            .select("venue_id", "place_id", "distance_m"))
+    named = nearest.withColumnsRenamed({"v_lat": "latitude", "v_lng": "longitude"})
+    return spread_join(venues.select("venue_id", "latitude", "longitude"), named, ["latitude", "longitude"], "inner").select(
+        "venue_id", "place_id", "distance_m")
 
 
 RESTAURANT_TYPES = ["restaurant"]

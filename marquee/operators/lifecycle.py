@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.text import slugify_handle, title_from_text
-from marquee.scale import numbered_by_hash, running_count, top_per_key
+from marquee.scale import numbered_by_hash, running_count, spread_join, top_per_key
 
 NEARLINE_DAYS, COLDLINE_DAYS = 30, 90
 MESSAGES_PER_PAGE = 1000
@@ -137,7 +137,7 @@ def export_user_data(users: DataFrame, saved: DataFrame, plans: DataFrame | None
     def records(frame: DataFrame, section: str, key: str) -> DataFrame:
         body = F.to_json(F.struct(*[F.col(name) for name in frame.columns]), keep_nulls)
         rows = frame if "user_id" in frame.columns else frame.withColumn("user_id", F.col("id"))
-        return rows.withColumn("record", body).join(wanted, "user_id", "left_semi").select(
+        return spread_join(rows.withColumn("record", body), wanted, ["user_id"], "left_semi").select(
             F.col("user_id"), F.lit(section).alias("section"), F.col(key).cast("string").alias("record_key"), "record")
 
     result = records(users, "profile", "id").union(records(saved, "saved_event", "event_id"))
@@ -151,7 +151,7 @@ def erase_users(tables: dict[str, DataFrame], ids: DataFrame, keys: dict[str, st
 
     def remaining(name: str, frame: DataFrame) -> DataFrame:
         key = (keys or {}).get(name, "id" if name == "users" else "user_id")
-        return frame.join(wanted.withColumnRenamed("id", key), key, "left_anti").select(*frame.columns)
+        return spread_join(frame, wanted.withColumnRenamed("id", key), [key], "left_anti").select(*frame.columns)
 
     return {name: remaining(name, frame) for name, frame in tables.items()}
 

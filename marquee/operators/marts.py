@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.operators.staging import latest_per_key
-from marquee.scale import top_per_key
+from marquee.scale import spread_join, top_per_key
 from marquee.schemas import FACT
 
 CATALOG_COLUMNS = {
@@ -35,12 +35,11 @@ def unique_catalog(catalog: DataFrame) -> DataFrame:
 def enrich_fact(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Interactions with their event's columns; those of unknown events are kept.
 
-    The catalogue side is unique, so rows never multiply. Spark broadcasts it when its measured size
-    allows; otherwise a popular event makes a large partition on the interaction side, which adaptive
-    execution splits.
+    The catalogue side is unique, so rows never multiply, and the interactions of a popular event are
+    spread over several tasks. Spark broadcasts the catalogue when its measured size allows.
     """
     bare = interactions.drop(*CATALOG_COLUMNS)  # a source may carry older values of them
-    return bare.join(unique_catalog(catalog), "event_id", "left")
+    return spread_join(bare, unique_catalog(catalog), ["event_id"])
 
 
 def fact_projection(df: DataFrame) -> DataFrame:

@@ -23,6 +23,24 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return ranked if rank else ranked.drop(name)
 
 
+SPREAD = 16
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", parts: int = SPREAD
+                ) -> DataFrame:
+    """Join to a side with few rows per key, each key of the left side being spread over `parts` tasks.
+
+    The right side is repeated for every part. A left row's part is a hash of its whole content, so the
+    same row always goes to the same part, also when a lost task is run again. Adaptive execution
+    cannot split a hot key when the right side is fresh out of an aggregation or window on that key,
+    which is where this is used.
+    """
+    hashable = [name for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    salted = left.withColumn("_part", F.pmod(F.xxhash64(*hashable), F.lit(parts)).cast("int"))
+    repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return salted.join(repeated, [*keys, "_part"], how).drop("_part")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one named by `spark.checkpoint.dir`; only an unset one gets a scratch folder."""
     context = spark.sparkContext

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.geo import haversine_m
 from marquee.operators import clustering, enrich, lifecycle, marts
-from marquee.scale import numbered_by_hash, running_count, top_per_key
+from marquee.scale import numbered_by_hash, running_count, spread_join, top_per_key
 
 
 def plan(df):
@@ -30,6 +30,20 @@ def test_user_features_prune_columns_and_never_cross_join(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
+def test_spread_join_splits_a_hot_key_and_changes_nothing(spark):
+    left = hot(spark, 3000)
+    right = left.select("key").distinct().filter("key % 2 = 0").withColumn("v", F.col("key") + 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for how in ("left", "inner", "left_semi", "left_anti"):
+            plain, spread = left.join(right, "key", how), spread_join(left, right, ["key"], how)
+            assert sorted(map(str, plain.collect())) == sorted(map(str, spread.select(*plain.columns).collect())), how
+        parts = left.filter("key = 0").select(F.pmod(F.xxhash64("id", "key"), F.lit(16)).alias("p")).groupBy("p").count()
+        assert parts.count() == 16 and max(r["count"] for r in parts.collect()) < 150
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_numbering_and_running_counts_of_a_hot_key(spark):
     rows = numbered_by_hash(hot(spark), ["key"], [F.col("id")], "n").filter("key = 0")
     numbers = sorted(r.n for r in rows.collect())
