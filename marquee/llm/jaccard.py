@@ -9,10 +9,10 @@ Equal sets are one node. Two nodes of sizes s <= t link when they share at least
   sets use one order of shingles: frequent ones last, else by hash. Two similar sets meet in at least one list.
 
 Lists of frequent shingles and groups of near copies can hold a large share of all nodes, so pairs are not made per
-list. First every node meets only the leader of each of its lists, is checked against the leader it shares most
-lists with, and true links are contracted to components. Lists whose members are in one component are done. Only
-members of different components then meet, and of these pairs only those are checked whose common lists leave room for
-enough common shingles. A shingle's frequency only sets the order: whatever it is, no link is lost.
+list. First every node meets a few leaders of its lists, is checked against those it meets most often, and true links
+are contracted to components; this is repeated with other leaders. Lists whose members are in one component are done.
+Only members of different components then meet, and of these pairs only those are checked whose common lists leave
+room for enough common shingles. A shingle's frequency only sets the order: whatever it is, no link is lost.
 
 Lists are built in blocks: a map task sends, for each part of the shingle space, one row with the packed shingles of
 many documents, and a part is sorted by array operations. A list above `SPLIT` nodes is split over parts by node.
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from marquee.llm.common import durable
 from marquee.llm.components import components
 from marquee.llm.shingles import mixed, shingle_sets
+from marquee.scale import top_per_key
 
 #: Similarity as a fraction NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -52,7 +53,10 @@ LARGEST_SMALL = 12
 SPLIT, PER_PART = 4096, 1_000_000
 #: Bits of the sieve that keeps most sets without candidates out of the check; its size never grows.
 SIEVE_BITS = 24
-TEXTS = 400
+#: Rounds with leaders, leaders of a list and of a node, and the share of its lists in which a node must meet a leader.
+ROUNDS, LEADERS, CHECKED, LIKELY = 2, 8, 6, 0.65
+#: Nodes of a block of pairs.
+PER_BLOCK = 256
 
 
 def needed(s: Column | np.ndarray | int, t: Column | np.ndarray | int):
@@ -182,24 +186,27 @@ def _in_order(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int
 
 def _lists(nodes: DataFrame, docs: DataFrame, text_col: str, least: int, frequent: np.ndarray, hot: dict[int, int], parts: int
            ) -> DataFrame:
-    """token, node, n, leader of every node of at least `least` shingles under each of its listed shingles.
+    """token, node, n, last of every node of at least `least` shingles under each of its listed shingles.
 
-    Lists of one node are left out. The leader is the smallest node of the list, or of its part if it is split.
+    `last` is the place of the node's last listed shingle in the order of all shingles. Lists of one node are left out.
     """
     shared = nodes.sparkSession.sparkContext.broadcast((frequent, hot))
 
-    def prefix(tokens: np.ndarray, n: int) -> np.ndarray | None:
+    def prefix(tokens: np.ndarray, n: int) -> tuple[np.ndarray, int] | None:
         """None if the kept shingles do not tell."""
         ordered, plain = _in_order(tokens, shared.value[0])
-        return ordered[: listed(n)] if plain >= listed(n) or len(tokens) == n else None
+        end = int(listed(n))
+        if plain < end and len(tokens) < n:
+            return None
+        return ordered[:end], int(ordered[end - 1] >> np.uint64(2)) + ((1 << 62) if end > plain else 0)
 
-    def spread(found: list[tuple[np.ndarray, int, int]]) -> Iterator[pd.DataFrame]:
+    def spread(found: list[tuple[tuple[np.ndarray, int], int]]) -> Iterator[pd.DataFrame]:
         if not found:
             return
-        tokens = np.concatenate([t for t, _, _ in found])
-        lengths = [len(t) for t, _, _ in found]
-        node = np.repeat(np.array([x for _, x, _ in found], np.int64), lengths)
-        n = np.repeat(np.array([x for _, _, x in found], np.int64), lengths)
+        tokens = np.concatenate([t for (t, _), _ in found])
+        lengths = [len(t) for (t, _), _ in found]
+        node = np.repeat(np.array([x for _, x in found], np.int64), lengths)
+        last = np.repeat(np.array([x for (_, x), _ in found], np.int64), lengths)
         at = tokens.copy()
         hot_lists = shared.value[1]
         if hot_lists:
@@ -210,11 +217,11 @@ def _lists(nodes: DataFrame, docs: DataFrame, text_col: str, least: int, frequen
             is_hot = keys[where] == tokens
             salt = mixed(node[is_hot].view(np.uint64)) % split[where[is_hot]]
             at[is_hot] = mixed(tokens[is_hot] + salt)
-        yield from _packed(tokens, (mixed(at) % np.uint64(parts)).astype(np.int64), node, n)
+        yield from _packed(tokens, (mixed(at) % np.uint64(parts)).astype(np.int64), node, last)
 
     def of_kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(prefix(np.frombuffer(t, np.uint64), n), node, n)
+            found = [(prefix(np.frombuffer(t, np.uint64), n), node)
                      for node, n, t in zip(batch["node"], batch["n"], batch["tokens"]) if n >= least]
             yield from spread([x for x in found if x[0] is not None])
 
@@ -223,7 +230,7 @@ def _lists(nodes: DataFrame, docs: DataFrame, text_col: str, least: int, frequen
             out = []
             for node, tokens in zip(batch["node"], batch["tokens"]):
                 tokens = np.frombuffer(tokens, np.uint64)
-                out.append((prefix(tokens, len(tokens)), node, len(tokens)))
+                out.append((prefix(tokens, len(tokens)), node))
             yield from spread(out)
 
     def lacks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,21 +242,22 @@ def _lists(nodes: DataFrame, docs: DataFrame, text_col: str, least: int, frequen
         held = [row for batch in batches for row in batch[["tokens", "extra0", "extra1"]].itertuples(index=False)]
         if not held:
             return
-        tokens, node, n = (np.frombuffer(b"".join(row[i] for row in held), kind)
-                           for i, kind in enumerate((np.uint64, np.int64, np.int64)))
+        tokens, node, last = (np.frombuffer(b"".join(row[i] for row in held), kind)
+                              for i, kind in enumerate((np.uint64, np.int64, np.int64)))
+        del held
         order = np.lexsort((node, tokens))
-        tokens, node, n = tokens[order], node[order], n[order]
+        tokens, node, last = tokens[order], node[order], last[order]
         fresh = np.ones(len(tokens), bool)
         fresh[1:] = (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])
-        tokens, node, n = tokens[fresh], node[fresh], n[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        lengths = np.diff(np.concatenate((starts, [len(tokens)])))
-        leader = np.repeat(node[starts], lengths)
-        keep = np.repeat(lengths > 1, lengths) | np.isin(tokens, np.array(list(shared.value[1]), np.int64).view(np.uint64))
+        tokens, node, last = tokens[fresh], node[fresh], last[fresh]
+        same = tokens[1:] == tokens[:-1]
+        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        if shared.value[1]:
+            keep |= np.isin(tokens, np.array(list(shared.value[1]), np.int64).view(np.uint64))
+        tokens, node, last = tokens[keep], node[keep], last[keep]
         for a in range(0, len(tokens), 200_000):
-            ok = keep[a: a + 200_000]
-            yield pd.DataFrame({"token": _signed(tokens[a: a + 200_000][ok]), "node": node[a: a + 200_000][ok],
-                                "n": n[a: a + 200_000][ok], "leader": leader[a: a + 200_000][ok]})
+            b = a + 200_000
+            yield pd.DataFrame({"token": _signed(tokens[a:b]), "node": node[a:b], "last": last[a:b]})
 
     packed = "part int, tokens binary, extra0 binary, extra1 binary"
     rows = nodes.select("node", "n", "tokens").mapInPandas(of_kept, packed)
@@ -257,7 +265,8 @@ def _lists(nodes: DataFrame, docs: DataFrame, text_col: str, least: int, frequen
         lacking = durable(nodes.select("node", "n", "tokens").mapInPandas(lacks, "node bigint"))
         sets = _sets(docs, text_col, _sieve(lacking)).join(lacking, "node", "left_semi")
         rows = rows.unionByName(sets.mapInPandas(of_texts, packed))
-    return rows.repartition(parts, "part").mapInPandas(scan, "token bigint, node bigint, n bigint, leader bigint")
+    found = rows.repartition(parts, "part").mapInPandas(scan, "token bigint, node bigint, last bigint")
+    return durable(found).join(nodes.select("node", "n"), "node").select("token", "node", "n", "last")
 
 
 @lru_cache(maxsize=64)
@@ -308,50 +317,83 @@ def _subset_links(nodes: DataFrame, largest: int) -> DataFrame:
     return rows.join(leaders, "key").select(F.col("node").alias("u"), partner.alias("v")).filter("v is not null and u <> v")
 
 
+def _blocked(pairs: DataFrame) -> DataFrame:
+    """u, v, block of every pair: blocks of pairs whose ends mostly meet within the block.
+
+    A node's home is the smallest node that it is paired with. Homes with many nodes are split by a hash of the node,
+    so that a block holds some hundreds of sets, and a set is sent to few blocks however many pairs it is in.
+    """
+    ends = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    homes = durable(ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("home")))
+    parts = durable(homes.groupBy("home").agg((F.floor(F.count("*") / PER_BLOCK) + 1).alias("parts")))
+    placed = durable(homes.join(parts, "home").select(
+        F.col("u").alias("node"), F.xxhash64("home", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("place")))
+    at = [placed.select(F.col("node").alias(c), F.col("place").alias(f"at_{c}")) for c in ("u", "v")]
+    return durable(pairs.join(at[0], "u").join(at[1], "v").select(
+        "u", "v", F.xxhash64(F.least("at_u", "at_v"), F.greatest("at_u", "at_v")).alias("block")))
+
+
 def _true_links(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Of pairs (u, v), those whose whole sets share enough. `pairs` must be a stored table."""
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
-    sets = durable(_sets(docs, text_col, _sieve(ends)).join(ends.distinct(), "node", "left_semi"))
+    blocked = _blocked(pairs)
+    ends = durable(blocked.select("block", F.col("u").alias("node")).unionByName(
+        blocked.select("block", F.col("v").alias("node"))).distinct())
+    sets = _sets(docs, text_col, _sieve(ends)).join(ends, "node")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = {node: np.frombuffer(tokens, np.uint64) for node, tokens in zip(right["node"], right["tokens"])}
+        keep = []
+        for u, v in zip(left["u"], left["v"]):
+            a, b = sorted((held[u], held[v]), key=len)
+            at = np.searchsorted(b, a)
+            at[at == len(b)] = 0
+            keep.append(int((b[at] == a).sum()) >= needed(len(a), len(b)))
+        return left[np.array(keep, bool)][["u", "v"]]
+
+    return blocked.groupBy("block").cogroup(sets.groupBy("block")).applyInPandas(run, "u bigint, v bigint")
+
+
+def _in_mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of lists whose members are in several components, with their component's label."""
+    known = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_lists = durable(known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                         .filter("lo <> hi").select("token"))
+    return durable(known.join(open_lists, "token"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch["a"], batch["b"]):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                keep.append(int((b[at] == a).sum()) >= needed(len(a), len(b)))
-            yield batch[np.array(keep, bool)][["u", "v"]]
-
-    joined = (pairs.join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
-              .join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u"))
-    return joined.select("u", "v", "a", "b").mapInPandas(run, "u bigint, v bigint")
-
-
-def _best_leaders(lists: DataFrame) -> DataFrame:
-    """u, v: each node and the leader with which it shares most lists, if their sizes allow a link."""
-    met = lists.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"))
-    best = met.groupBy("node").agg(F.max(F.struct("k", "leader")).alias("best"))
-    return best.select(F.col("node").alias("u"), F.col("best.leader").alias("v"))
-
-
-def _open_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """u, v: pairs of different components that meet in lists often enough for a link to be possible."""
-    known = lists.join(labels, "node", "left").select(
-        "token", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed_lists = durable(known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                          .filter("lo <> hi").select("token"))
-    rest = durable(known.join(mixed_lists, "token"))
-    a = rest.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label")])
-    b = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label")])
-    met = a.join(b, "token").filter(
-        (F.col("label_a") != F.col("label_b"))
-        & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))))
-        & (F.col("n_a") * DENOMINATOR >= F.col("n_b") * NUMERATOR))
-    pairs = met.groupBy("node_a", "node_b").agg(F.count("*").alias("k"), F.first("n_a").alias("s"), F.first("n_b").alias("t"))
-    s, t = F.col("s"), F.col("t")
-    unlisted = F.ceil(t * NUMERATOR / DENOMINATOR) - 1  # of the larger set; the smaller one has no more
-    return pairs.filter(F.col("k") + unlisted >= needed(s, t)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+
+def _met(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of different components that meet in lists, the smaller set as `a`, with the number `k` of their lists."""
+    a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "last")])
+    b = others.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "last")])
+    return (a.join(b, "token").filter((F.col("label_a") != F.col("label_b"))
+                                      & (F.col("n_a") * DENOMINATOR >= F.col("n_b") * NUMERATOR)
+                                      & (F.col("n_b") * DENOMINATOR >= F.col("n_a") * NUMERATOR)))
+
+
+def _with_leaders(rows: DataFrame, salt: int) -> DataFrame:
+    """u, v: each node and, of the `LEADERS` first nodes of its lists, the `CHECKED` ones that it meets most often.
+
+    A node that meets it in few lists is left to the later search. The salt decides who comes first.
+    """
+    first = top_per_key(rows.withColumn("place", F.xxhash64("node", F.lit(salt))), ["token"], [F.col("place")], LEADERS)
+    met = _met(rows, first).groupBy("node_a", "node_b").agg(F.count("*").alias("k"), F.first("n_a").alias("s"))
+    often = met.filter(F.col("k") >= LIKELY * (F.col("s") - F.ceil(F.col("s") * NUMERATOR / DENOMINATOR) + 1))
+    best = top_per_key(often, ["node_a"], [F.desc("k"), F.col("node_b")], CHECKED)
+    return best.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """u, v: all pairs of different components that meet in lists often enough for a link to be possible.
+
+    With k lists in common, the pair's other common shingles come after the listed ones of that set whose list ends
+    first, so they are no more than that set has unlisted ones.
+    """
+    met = _met(rows, rows).filter("node_a < node_b").groupBy("node_a", "node_b").agg(
+        F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "last_a", "last_b")])
+    s, t, ends = F.col("n_a"), F.col("n_b"), F.col("last_a") - F.col("last_b")
+    of_s, of_t = (F.ceil(n * NUMERATOR / DENOMINATOR) - 1 for n in (s, t))
+    others = F.when(ends < 0, of_s).when(ends > 0, of_t).otherwise(F.greatest(of_s, of_t))
+    return met.filter(F.col("k") + others >= needed(s, t)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,8 +411,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     frequent, hot = _frequent(nodes, parts)
     lists = durable(_lists(nodes, docs, text_col, -(-NUMERATOR * (small + 1) // DENOMINATOR), frequent, hot, parts))
     links = durable(_subset_links(nodes, small))
-    links = links.unionByName(durable(_true_links(durable(_best_leaders(lists)), docs, text_col)))
-    pairs = durable(_open_pairs(lists, durable(components(links))))
+    labels = durable(components(links))
+    for salt in range(ROUNDS):
+        lists = _in_mixed_lists(lists, labels)
+        links = links.unionByName(durable(_true_links(durable(_with_leaders(lists, salt)), docs, text_col)))
+        labels = durable(components(links))
+        lists = lists.drop("label")
+    pairs = durable(_open_pairs(_in_mixed_lists(lists, labels)))
     links = links.unionByName(durable(_true_links(pairs, docs, text_col)))
     labels = durable(components(links))
     of_label = durable(labels.join(firsts, "node").groupBy("label").agg(F.min("first").alias("component")))
