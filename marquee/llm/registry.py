@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marquee.llm import bpe, exact_dedup, jaccard, mixing, toxicity
+from marquee.llm import attribution, bpe, exact_dedup, jaccard, mixing, pseudonyms, toxicity
 from marquee.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,11 @@ FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
 """
 
 
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), rule="first")
+
+
 @query("op2_exact_dedup", OP2_SQL)
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -70,6 +76,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op6_pseudonyms")
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key="op6")
+    return made.withColumn("n_values", F.coalesce(F.size("values"), F.lit(0)))
+
+
 @query("op8_jaccard_join")
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
