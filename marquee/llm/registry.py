@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import attribution, bpe, exact_dedup, jaccard, mixing, neighbours, pseudonyms, toxicity, warc
+from marquee.llm import attribution, bpe, exact_dedup, jaccard, mixing, neighbours, pseudonyms, substrings, toxicity, warc
 from marquee.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,12 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("n_values", F.coalesce(F.size("values"), F.lit(0)))
 
 
+@query("op7_substrings")
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_jaccard_join")
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
