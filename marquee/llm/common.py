@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.scale import durable
 
-__all__ = ["SPACE", "WORD", "durable", "fresh", "plain_text", "table", "words_in"]
+__all__ = ["SPACE", "WORD", "durable", "fresh", "plain_text", "release", "table", "words_in"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,3 +38,9 @@ def words_in(column: Column | str) -> Column:
     """Number of words of a text; null has none."""
     value = F.col(column) if isinstance(column, str) else column
     return F.coalesce(F.regexp_count(value, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps whose results are stored and whose frames are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

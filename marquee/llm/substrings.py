@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import durable
+from marquee.llm.common import durable, release
 from marquee.llm.shingles import _table, mixed
 
 LENGTH, GRAM = 100, 32
@@ -139,16 +139,26 @@ def _entries(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
                         if row[4:] < known[4:]:
                             seen[key], row = row, known
                         if row[4:] != known[4:] or row is known:
-                            out.append((None, None, None, None, row[4], row[5], row[6] - len(row[2]), row[6] + len(row[1])))
+                            out.append((row[4], row[5], row[6] - len(row[2]), row[6] + len(row[1])))
                 if len(seen) > 40_000:
                     yield frame(seen, out)
                     seen, out = {}, []
             yield frame(seen, out)
 
+    def merged(spans: list) -> list:
+        """Spans of a document that overlap or touch, as one."""
+        whole: list[list] = []
+        for doc, print_, start, stop in sorted(spans):
+            if whole and whole[-1][:2] == [doc, print_] and start <= whole[-1][3]:
+                whole[-1][3] = max(whole[-1][3], stop)
+            else:
+                whole.append([doc, print_, start, stop])
+        return whole
+
     def frame(seen: dict, out: list) -> pd.DataFrame:
-        rows_ = [(*row, None) for row in seen.values()] + out
-        table = pd.DataFrame(rows_, columns=["gram", "right", "left", "least", "doc", "print", "anchor", "stop"])
-        return table.assign(**{c: table[c].astype("Int64") for c in ("gram", "least", "stop")})
+        rows_ = [(*row, None) for row in seen.values()] + [(None, None, None, None, *span) for span in merged(out)]
+        table = pd.DataFrame(rows_, columns=["gram", "right", "left", "least", "doc", "print", "anchor", "stop"], dtype=object)
+        return table.astype({c: "Int64" for c in ("gram", "least", "doc", "print", "anchor", "stop")})
 
     return rows.mapInPandas(run, f"{ENTRY}, stop bigint")
 
@@ -243,6 +253,8 @@ def _spans(entries: DataFrame, shards: int) -> DataFrame:
             yield settled(pd.concat(held, ignore_index=True))
 
     def settled(rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return rows.rename(columns={"anchor": "start"})[["doc", "print", "start", "stop"]]
         gram = rows["gram"].to_numpy(np.int64)
         several = np.concatenate((gram[1:] == gram[:-1], [False])) | np.concatenate(([False], gram[1:] == gram[:-1]))
         rows = rows[several]
@@ -278,6 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(8, n_bytes // 40_000_000 + 1)
     sieve = _sieve(rows, 2 ** min(12, max(3, int(n_bytes // 100_000_000).bit_length() + 2)))
     stored = durable(_spans(_entries(rows, sieve), shards))
+    release(docs.sparkSession)
     spans = stored.groupBy("doc", "print").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
