@@ -97,8 +97,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for tokens in shingle_sets(part["text"].tolist()):
                     kept = max(KEPT_AT_LEAST, int(np.ceil(len(tokens) * KEPT)))
                     out.append((_node(tokens) if len(tokens) else None, len(tokens), tokens[:kept].tobytes()))
-                frame = pd.DataFrame(out, columns=["node", "n", "tokens"], index=part.index)
-                yield frame.assign(id=part["id"], node=frame["node"].astype("Int64"))[["id", "node", "n", "tokens"]]
+                frame = pd.DataFrame(out, columns=["node", "n", "tokens"], index=part.index, dtype=object)  # else nodes become floats
+                yield frame.assign(id=part["id"], node=frame["node"].astype("Int64"), n=frame["n"].astype("int64"))[["id", "node", "n", "tokens"]]
 
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, node bigint, n bigint, tokens binary")
 
@@ -373,9 +373,17 @@ def _met(rows: DataFrame, others: DataFrame) -> DataFrame:
 def _with_leaders(rows: DataFrame, salt: int) -> DataFrame:
     """u, v: each node and, of the `LEADERS` first nodes of its lists, the `CHECKED` ones that it meets most often.
 
-    A node that meets it in few lists is left to the later search. The salt decides who comes first.
+    A node that meets it in few lists is left to the later search. Without a salt, those come first whose lists are the
+    longest on average: of a group of near copies, the ones with the fewest changes, to which others are nearest. A salt
+    gives other orders.
     """
-    first = top_per_key(rows.withColumn("place", F.xxhash64("node", F.lit(salt))), ["token"], [F.col("place")], LEADERS)
+    if salt:
+        placed = rows.withColumn("place", F.xxhash64("node", F.lit(salt)))
+    else:
+        sizes = rows.groupBy("token").agg(F.count("*").alias("held"))
+        central = durable(rows.select("token", "node").join(sizes, "token").groupBy("node").agg((-F.avg("held")).alias("place")))
+        placed = rows.join(central, "node")
+    first = top_per_key(placed, ["token"], [F.col("place"), F.col("node")], LEADERS)
     met = _met(rows, first).groupBy("node_a", "node_b").agg(F.count("*").alias("k"), F.first("n_a").alias("s"))
     often = met.filter(F.col("k") >= LIKELY * (F.col("s") - F.ceil(F.col("s") * NUMERATOR / DENOMINATOR) + 1))
     best = top_per_key(often, ["node_a"], [F.desc("k"), F.col("node_b")], CHECKED)

@@ -39,6 +39,7 @@ DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 CAPTURE = ("key string, page_id bigint, archive string, offset bigint, length bigint, type string, digest string, bytes bigint, "
            "refers_to bigint, refers_key string")
+NAMES = [column.split(" ")[0] for column in CAPTURE.split(", ")]
 
 
 def url_key(url: Column) -> Column:
@@ -146,8 +147,8 @@ def build_index(spark: SparkSession, folder: str, index: str) -> None:
 
 
 def _captures(rows: list) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in CAPTURE.split(", ")])
-    return frame.assign(page_id=frame["page_id"].astype("Int64"), refers_to=frame["refers_to"].astype("Int64"))
+    frame = pd.DataFrame(rows, columns=NAMES, dtype=object)
+    return frame.astype({c: "Int64" for c in ("page_id", "offset", "length", "bytes", "refers_to")})
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,10 +207,10 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content, ranges in zip(batch["content"], batch["ranges"]):
-                frame = pd.DataFrame(list(ranges))
+                frame = pd.DataFrame([tuple(r[c] for c in NAMES) for r in ranges], columns=NAMES, dtype=object)
                 spans = [_parsed(content[a: a + n], 0)[1:] for a, n in zip(frame["offset"], frame["length"])]
                 frame["payload"] = [content[a + start: a + end] for a, (start, end) in zip(frame["offset"], spans)]
-                yield frame.assign(page_id=frame["page_id"].astype("Int64"), refers_to=frame["refers_to"].astype("Int64"))
+                yield frame.astype({c: "Int64" for c in ("page_id", "offset", "length", "bytes", "refers_to")})
 
     ranges = captures.groupBy("archive").agg(F.collect_list(F.struct(*captures.columns)).alias("ranges"))
     files = _files(captures.sparkSession, folder).withColumnRenamed("path", "archive")
