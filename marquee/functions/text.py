@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their base letters, for `translate`.
-ACCENTED = "áàâäãåāăąçćčďéèêëēėęěíìîïīįñńňóòôöõōőřśšşťúùûüūůűųýÿžźżğ"
-UNACCENTED = "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorssstuuuuuuuuyyzzzg"
 
+def _bases() -> dict[str, str]:
+    """Latin letters with accents and the ASCII letters that they decompose to."""
+    letters = map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
+    parts = {letter: unicodedata.normalize("NFD", letter)[0] for letter in letters}
+    return {letter: base for letter, base in parts.items() if base.isascii() and base.isalpha()}
+
+
+BASES = _bases()
 
 WHITESPACE = " \t\n\r\f\u000b\u00a0"
 
@@ -25,7 +32,7 @@ def _filled(value: Column) -> Column:
 
 def _without_accents(value: Column) -> Column:
     combining = F.regexp_replace(value, r"\p{Mn}", "")
-    return F.translate(combining, ACCENTED + ACCENTED.upper(), UNACCENTED + UNACCENTED.upper())
+    return F.translate(combining, "".join(BASES), "".join(BASES.values()))
 
 
 def slugify(value: Column) -> Column:

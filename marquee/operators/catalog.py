@@ -19,7 +19,6 @@ from marquee.functions.text import identity_key, stripped
 from marquee.functions.values import first_or_null, to_number
 from marquee.scale import spread_join, top_per_key
 
-IN_LIST_LIMIT = 10  # the catalogue query takes at most ten segments
 NO_DATE = "—"
 
 
@@ -165,7 +164,7 @@ def _matching(df: DataFrame, city: str | None, segments: Sequence[str] | None, d
     if date:
         df = df.filter(F.col("event_date") == F.lit(date))
     if segments:
-        df = df.filter(F.col("segment").isin(list(segments)[:IN_LIST_LIMIT]))
+        df = df.filter(F.col("segment").isin(list(segments)))
     return df
 
 

@@ -243,12 +243,12 @@ def assignments(model: KMeansModel, df: DataFrame, columns: Sequence[str]) -> Da
 
 
 def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 9), seed: int = 42, n_init: int = 20,
-            metric: str = "euclidean", max_iter: int = 300, parallelism: int = 4
+            metric: str = "squared", max_iter: int = 300, parallelism: int = 4
             ) -> tuple[DataFrame, dict[int, KMeansModel]]:
     """Fit K-Means for every k, keeping the best of `n_init` starts, and measure each winner.
 
     Returns the measures, one row per k, and the models. A k below 2 or not below the number of rows
-    is skipped. `metric="squared"` takes the silhouette that needs no pairs of rows. The starts of
+    is skipped. `metric="euclidean"` takes the silhouette of all pairs of rows, which is quadratic. The starts of
     all k are independent jobs and run `parallelism` at a time over one stored matrix.
     """
     spark = df.sparkSession
@@ -318,8 +318,8 @@ def cluster_profiles(df: DataFrame, columns: Sequence[str], label: str = "label"
 
 
 def share_of_total(df: DataFrame, value: str) -> DataFrame:
-    """Adds `share`, the row's part of the total. For small result tables such as one row per cluster."""
-    return df.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy()))
+    """Adds `share`, the row's part of the total."""
+    return df.withColumn("share", F.col(value) / df.agg(F.sum(value)).scalar())
 
 
 def cluster_sizes(df: DataFrame, label: str = "label") -> DataFrame:

@@ -14,7 +14,7 @@ from marquee.functions.geo import EARTH_RADIUS_M, haversine_m, round_key
 from marquee.functions.instants import expiry
 from marquee.functions.lookups import (DEFAULT_COORDINATES, LODGING_KINDS, city_table, lookup_weather_code)
 from marquee.functions.text import cache_id, strip_accents_lower
-from marquee.scale import spread_join, top_per_key
+from marquee.scale import durable, spread_join, top_per_key
 from marquee.schemas import LODGING, RESTAURANT, SEMANTIC_FIELDS
 
 def fields_complete(required: Sequence[str]) -> Column:
@@ -49,20 +49,26 @@ def cache_aside(df: DataFrame, cache: DataFrame, keys: list[str], valid: Column,
     `out_schema`; a key it cannot answer is left out, or is NULL in all of them. Returns the enriched
     rows (rows with a NULL key or no answer have NULLs) and the answers to store.
 
-    A key shared by many rows is asked for once, and only its answer travels to the rows.
+    A key shared by many rows is asked for once, and only its answer travels to the rows. The answers are stored before
+    they are used, so `fn` is not asked again for the updates. Of several valid cache rows of a key, or several answers,
+    the greatest in the order of their other columns counts.
     """
     fields = out_schema.fieldNames()
     base = df.drop(*fields)
     any_null = F.expr(" OR ".join(f"`{key}` IS NULL" for key in keys))
     keyed = base.filter(~any_null)
 
-    usable = cache.filter(valid).select(*keys, *fields)
+    def unique(rows: DataFrame) -> DataFrame:
+        others = [F.col(name).desc_nulls_last() for name, kind in rows.dtypes if name not in keys and "map<" not in kind]
+        return top_per_key(rows, keys, others or [F.col(keys[0])])
+
+    usable = unique(cache.filter(valid)).select(*keys, *fields)
     order = [F.col(name).asc_nulls_last() for name in request]
     wanted = keyed.select(*keys, *[name for name in request if name not in keys])
     missing = top_per_key(wanted, keys, order or [F.col(keys[0])]).join(usable.select(*keys), keys, "left_anti")
     answered = fn(missing).select(*keys, *[F.col(f.name).cast(f.dataType).alias(f.name) for f in out_schema.fields])
     something = F.expr(" OR ".join(f"`{name}` IS NOT NULL" for name in fields))
-    fresh = answered.filter(something)
+    fresh = durable(unique(answered.filter(something)))
 
     answers = merge_hits_misses(usable, fresh)
     enriched = spread_join(keyed, answers, keys)
@@ -136,10 +142,11 @@ def resolve_home_location(users: DataFrame, cities: DataFrame | None = None,
                           default: tuple[float, float] = DEFAULT_COORDINATES) -> DataFrame:
     """Adds `home_lat`, `home_lng`: stored coordinates, else the city's, else the default."""
     known = cities if cities is not None else city_table(users.sparkSession)
-    table = known.select("city_key", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
-    keyed = users.withColumn("city_key", strip_accents_lower(F.col("preferred_location")))
-    # A user who has coordinates needs no city, so the key stays NULL and finds nothing.
+    table = known.groupBy("city_key").agg(F.min(F.struct("lat", "lng")).alias("_at")).select(
+        "city_key", F.col("_at.lat").alias("_lat"), F.col("_at.lng").alias("_lng"))
     stored = F.col("preferred_location_lat").isNotNull() & F.col("preferred_location_lng").isNotNull()
+    # A user who has coordinates needs no city, so the key stays NULL and finds nothing.
+    keyed = users.withColumn("city_key", F.when(~stored, strip_accents_lower(F.col("preferred_location"))))
     joined = keyed.join(table, "city_key", "left")
     lat = F.when(stored, F.col("preferred_location_lat")).otherwise(F.coalesce("_lat", F.lit(default[0])))
     lng = F.when(stored, F.col("preferred_location_lng")).otherwise(F.coalesce("_lng", F.lit(default[1])))

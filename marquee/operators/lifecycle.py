@@ -47,9 +47,8 @@ def unique_handles(new: DataFrame, existing: DataFrame) -> DataFrame:
 
     def as_taken(handle: Column) -> list[Column]:
         """A handle blocks number n of the slug it extends."""
-        number = F.regexp_extract(handle, r"_([1-9][0-9]{0,8})$", 1)
-        return [F.regexp_replace(handle, r"_[1-9][0-9]{0,8}$", "").alias("slug"),
-                F.nullif(number, F.lit("")).cast("bigint").alias("n")]
+        number = F.regexp_extract(handle, r"_([1-9][0-9]*)$", 1)
+        return [F.regexp_replace(handle, r"_[1-9][0-9]*$", "").alias("slug"), number.try_cast("bigint").alias("n")]
 
     numbered = (existing.select(*as_taken(F.col("username")))
                 .union(slugs.select(*as_taken(F.col("slug"))))
@@ -101,7 +100,10 @@ def reconcile_identities(users: DataFrame, sign_ins: DataFrame) -> DataFrame:
     known = users.filter(F.col("auth_uid").isNotNull()).select(F.col("auth_uid").alias("uid"))
     by_uid = _collapsed(accepted.join(known, "uid", "left_semi"), "uid").select(
         F.col("uid").alias("auth_uid"), F.col("email_verified").alias("_uid_verified"))
-    rest = _collapsed(accepted.join(known, "uid", "left_anti"), "email")
+    unknown = accepted.join(known, "uid", "left_anti")
+    # A new uid is one person, under the e-mail of the first sign-in, whatever e-mails follow.
+    first_email = unknown.groupBy("uid").agg(F.min(F.struct("signed_at", "email"))["email"].alias("email"))
+    rest = _collapsed(unknown.drop("email").join(first_email, "uid"), "email")
     by_email = rest.select("email", F.struct("uid", "name", "picture", "email_verified").alias("_mail"))
 
     joined = users.join(by_uid, "auth_uid", "left").join(by_email, "email", "left")
@@ -216,10 +218,10 @@ def plan_transcripts(turns: DataFrame, page: int = MESSAGES_PER_PAGE,
                      roles: Sequence[str] = ("user", "assistant")) -> DataFrame:
     """Messages of every plan in turn order: (plan_id, page, messages).
 
-    A page holds turns `page * n` up to the next one, so a row never has more than that many messages
-    however long a plan is. A turn that is there several times counts once.
+    A page holds turns `page * n` up to the next one, so a row has that many turns at most however long
+    a plan is. A message that is there several times counts once; different messages of a turn all stay.
     """
-    rows = top_per_key(turns.filter(F.col("role").isin(*roles)), ["plan_id", "turn"], [F.col("role"), F.col("content")])
+    rows = turns.filter(F.col("role").isin(*roles)).select("plan_id", "turn", "role", "content").distinct()
     paged = rows.withColumn("page", F.floor(F.col("turn") / F.lit(page)).cast("bigint"))
     messages = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
     return paged.groupBy("plan_id", "page").agg(messages.alias("messages"))

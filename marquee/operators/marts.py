@@ -62,13 +62,14 @@ def latest_interactions(staged: DataFrame) -> DataFrame:
 def new_events_only(batch: DataFrame, existing: DataFrame, key: str = "id", dedupe: bool = False) -> DataFrame:
     """Rows of the batch whose key is not stored yet. A NULL key counts as new.
 
-    `dedupe=True` also keeps only one row per key of the batch.
+    `dedupe=True` also keeps only one row per key of the batch; all rows without a key stay.
     """
     fresh = batch.join(existing.select(key), key, "left_anti")
     if not dedupe:
         return fresh
     order = [F.col(name).asc_nulls_last() for name, kind in fresh.dtypes if name != key and not kind.startswith("map")]
-    return top_per_key(fresh, [key], order or [F.col(key)])
+    keyed = top_per_key(fresh.filter(F.col(key).isNotNull()), [key], order or [F.col(key)])
+    return keyed.unionByName(fresh.filter(F.col(key).isNull()))
 
 
 def append_batches(*batches: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def prepared_features(clean: DataFrame) -> DataFrame:
 
 
 def segment_users(interactions: DataFrame, ks: Sequence[int] = range(2, 9), seed: int = 42, n_init: int = 20,
-                  metric: str = "euclidean") -> Segmentation:
+                  metric: str = "squared") -> Segmentation:
     """The whole analysis on typed interactions (the fact, or a typed CSV)."""
     clean = features.clean_interactions(interactions)
     users = durable(prepared_features(clean))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -42,10 +43,15 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one named by `spark.checkpoint.dir`; only an unset one gets a scratch folder."""
+    """A new folder below the one named by `spark.checkpoint.dir`, which all executors must share.
+
+    Only a session that runs in one process, as in tests, may leave it unset and gets a scratch folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
     return f"{context.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -58,7 +58,7 @@ def type_interactions(raw: DataFrame) -> DataFrame:
 
 def read_interactions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Interaction CSV as text columns. Fails with the sorted names of missing columns."""
-    raw = with_english_names(spark.read.option("header", True).csv(path))
+    raw = with_english_names(spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path))
     require_columns(raw, FACT.fieldNames())
     return raw.select(*FACT.fieldNames())
 
@@ -73,6 +73,8 @@ def read_operational(spark: SparkSession, source: str | dict, table: str) -> Dat
     """
     schema = OPERATIONAL_TABLES[table]
     if isinstance(source, dict):
+        if lacking := {"partitionColumn", "lowerBound", "upperBound", "numPartitions"} - set(source):
+            raise ValueError(f"options that split the read are missing: {', '.join(sorted(lacking))}")
         rows = spark.read.format("jdbc").options(**source, dbtable=table).load()
         known = set(rows.columns)
         return rows.select(*[

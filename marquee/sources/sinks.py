@@ -93,7 +93,7 @@ def write_artifacts(tables: dict[str, DataFrame], path: str, report: str | None
     for name, table in tables.items():
         writer = table.write.mode("overwrite")
         if format == "csv":
-            writer = writer.option("header", True)
+            writer = writer.option("header", True).option("escape", '"')
         writer.format(format).save(posixpath.join(path, name))
     if report is not None:
         spark: SparkSession = next(iter(tables.values())).sparkSession

@@ -60,14 +60,15 @@ def stream_dedupe(stream: DataFrame, delay: str = "3 days") -> DataFrame:
     return timed.withWatermark("ingestion_timestamp", delay).dropDuplicatesWithinWatermark(["interaction_id"])
 
 
-def stream_merge_fact(stream: DataFrame, target: str, catalog: DataFrame, checkpoint: str, staging: str,
+def stream_merge_fact(stream: DataFrame, target: str, catalog: DataFrame | Callable[[], DataFrame], checkpoint: str, staging: str,
                       clock: Callable[[], dt.datetime], days: int = 3, available_now: bool = True) -> StreamingQuery:
     """Merges every micro-batch of staged interactions into the stored fact.
 
-    A batch that is retried writes the same staging folder again and changes nothing it already did.
+    A batch that is retried writes the same staging folder again and changes nothing it already did. A function as
+    `catalog` is asked for every batch, so that a running stream sees new events.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_into_path(batch.sparkSession, target, latest_interactions(batch), catalog, clock(), staging,
+        merge_into_path(batch.sparkSession, target, latest_interactions(batch), catalog() if callable(catalog) else catalog, clock(), staging,
                         f"batch-{batch_id}", days, strict=False)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -118,3 +118,37 @@ def test_append_new_makes_table_and_keeps_ids_unique(spark, tmp_path):
     sinks.append_new(rows, path, WAREHOUSE, "event_date")
     sinks.append_new(rows.union(spark.createDataFrame([("3", "2026-05-02")], rows.schema)), path, WAREHOUSE, "event_date")
     assert sorted(r.id for r in readers.read_ids(spark, path).collect()) == ["1", "2", "3"]
+
+
+def test_more_than_ten_segments_are_all_found(spark):
+    rows = [(str(i), f"s{i}", i) for i in range(12)]
+    events = spark.createDataFrame(rows, "id string, segment string, starts_at long")
+    assert catalog.query_catalog(events, segments=[f"s{i}" for i in range(12)]).count() == 12
+
+
+def test_rows_without_a_key_all_stay(spark):
+    from marquee.operators.marts import new_events_only
+
+    batch = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4), ("b", 5)], "id string, n int")
+    kept = new_events_only(batch, spark.createDataFrame([("b",)], "id string"), dedupe=True)
+    assert sorted(r["n"] for r in kept.collect()) == [1, 2, 3]
+
+
+def test_duplicate_cache_rows_do_not_multiply(spark):
+    from pyspark.sql import types as T
+
+    from marquee.operators.enrich import cache_aside
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def ask(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch[["k"]].assign(v="asked")
+
+    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
+    cache = spark.createDataFrame([("a", "old"), ("a", "new")], "k string, v string")
+    found, fresh = cache_aside(rows, cache, ["k"], F.lit(True), lambda df: df.mapInPandas(ask, "k string, v string"),
+                               T.StructType([T.StructField("v", T.StringType())]))
+    assert sorted(map(tuple, found.collect())) == [("a", "old"), ("a", "old"), ("b", "asked")]
+    assert [tuple(r) for r in fresh.collect()] == [("b", "asked")] and calls.value == 1

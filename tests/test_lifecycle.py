@@ -123,3 +123,18 @@ def test_operational_snapshot(spark, tmp_path):
     spark.createDataFrame([("1", "a@x")], "id string, email string").write.parquet(str(tmp_path / "users"))
     rows = readers.read_operational(spark, str(tmp_path), "users")
     assert rows.schema == USERS and rows.first().email == "a@x" and rows.first().is_active is None
+
+
+def test_one_new_person_with_two_mails(spark):
+    users = spark.createDataFrame([], "id string, auth_uid string, email string, username string, full_name string, avatar_url string, "
+                                      "is_active boolean, is_verified boolean")
+    sign_ins = spark.createDataFrame(
+        [("u1", "a@x.org", True, "Ann", None, "google", 1), ("u1", "b@x.org", True, "Ann", None, "google", 2)],
+        "uid string, email string, email_verified boolean, name string, picture string, provider string, signed_at long")
+    assert [(r["id"], r["email"]) for r in lifecycle.reconcile_identities(users, sign_ins).collect()] == [("u1", "a@x.org")]
+
+
+def test_different_messages_of_a_turn_stay(spark):
+    turns = spark.createDataFrame([("p", 1, "user", "a"), ("p", 1, "assistant", "b"), ("p", 1, "user", "a")],
+                                  "plan_id string, turn int, role string, content string")
+    assert [m["content"] for m in lifecycle.plan_transcripts(turns).first()["messages"]] == ["b", "a"]
