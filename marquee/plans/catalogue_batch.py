@@ -29,10 +29,10 @@ def run_catalogue_batch(spark: SparkSession, pages: str, raw_path: str, dead_let
                         semantic_cache: DataFrame, semantic_answers: Callable[[DataFrame], DataFrame],
                         forecast: DataFrame, now: dt.datetime) -> CatalogueRun:
     """`now` stamps the run and decides which cached venues are still good."""
-    raw = readers.read_event_pages(spark, pages)
-    sinks.land_raw(raw, raw_path, now)
-    good, bad = catalog.split_valid(raw, catalog.raw_event_rules())
-    sinks.write_dead_letters(bad, dead_letter_path, now)
+    sinks.land_documents(readers.read_page_documents(spark, pages), raw_path, now)
+    good, bad = catalog.split_valid(readers.read_event_pages(spark, pages), catalog.raw_event_rules())
+    rejected = bad.unionByName(readers.malformed_pages(spark, pages), allowMissingColumns=True)
+    sinks.write_dead_letters(rejected, dead_letter_path, now)
 
     events = catalog.drop_test_events(catalog.flatten_event(good))
     placed, venue_updates = enrich.enrich_venue(events, venue_cache, venue_answers, F.lit(now))

@@ -14,11 +14,30 @@ from marquee.schemas import FACT, RAW_EVENT, RAW_PAGE, SAVED_EVENTS, USERS, with
 
 
 def read_event_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed API pages (one JSON document per line) -> one row per event. Empty pages give no rows."""
+    """Landed API pages (one JSON document per line) -> one row per event. Empty pages give no rows.
+
+    Of a line that is no JSON nothing is read; `malformed_pages` gives those lines.
+    """
     pages = spark.read.schema(RAW_PAGE).json(path)
     return pages.select(F.explode("_embedded.events").alias("event")).select("event.*")
 
 
+def _page_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).filter("trim(value) <> ''").withColumn("page", F.try_parse_json("value"))
+
+
+def read_page_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The event documents of landed pages as JSON text, with every field they have."""
+    events = F.expr("try_variant_get(page, '$._embedded.events', 'array<variant>')")
+    return _page_lines(spark, path).select(F.explode(events).alias("event")).select(F.to_json("event").alias("value"))
+
+
+def malformed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of landed pages that are no JSON, as rejected rows: id (NULL), error, page."""
+    return _page_lines(spark, path).filter("page IS NULL").select(
+        F.lit(None).cast("string").alias("id"), F.lit("page is not JSON").alias("error"), F.col("value").alias("page"))
+
+
 def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
     """Raw documents landed by `land_raw`, of all runs."""
     return spark.read.schema(RAW_EVENT).json(path)

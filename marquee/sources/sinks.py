@@ -20,10 +20,18 @@ def _run_folder(path: str, run_ts: dt.datetime) -> str:
 
 
 def land_raw(df: DataFrame, path: str, run_ts: dt.datetime) -> None:
-    """Unmodified documents of one run as JSON lines, test events included."""
+    """Events of one run as JSON lines with the fields that are read, test events included.
+
+    `land_documents` keeps fields that nothing reads yet, too.
+    """
     df.write.mode("overwrite").json(_run_folder(path, run_ts))
 
 
+def land_documents(documents: DataFrame, path: str, run_ts: dt.datetime) -> None:
+    """Documents of one run as they came, one JSON text (`value`) per line."""
+    documents.select("value").write.mode("overwrite").text(_run_folder(path, run_ts))
+
+
 def write_dead_letters(bad: DataFrame, path: str, run_ts: dt.datetime) -> None:
     """Rejected rows as JSON lines {id, error, timestamp, raw}."""
     raw = F.struct(*[F.col(name) for name in bad.columns if name != "error"])

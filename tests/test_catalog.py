@@ -152,3 +152,15 @@ def test_duplicate_cache_rows_do_not_multiply(spark):
                                T.StructType([T.StructField("v", T.StringType())]))
     assert sorted(map(tuple, found.collect())) == [("a", "old"), ("a", "old"), ("b", "asked")]
     assert [tuple(r) for r in fresh.collect()] == [("b", "asked")] and calls.value == 1
+
+
+def test_broken_pages_and_unknown_fields_are_kept(spark, tmp_path):
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    event = {"id": "1", "priceRanges": [{"min": 5}]}
+    (pages / "a.json").write_text(json.dumps({"_embedded": {"events": [event]}}) + "\n{broken\n" + json.dumps({"page": {"totalElements": 0}}) + "\n")
+    documents = readers.read_page_documents(spark, str(pages))
+    sinks.land_documents(documents, str(tmp_path / "raw"), dt.datetime(2024, 1, 1))
+    landed = spark.read.text(str(tmp_path / "raw" / "*")).collect()
+    assert [json.loads(r["value"]) for r in landed] == [event]
+    assert [(r["id"], r["error"], r["page"]) for r in readers.malformed_pages(spark, str(pages)).collect()] == [(None, "page is not JSON", "{broken")]
