@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ def words_in(column: Column | str) -> Column:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps whose results are stored and whose frames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of steps whose results are stored and whose frames are gone.
+
+    The first collection frees the frames, the second what they held; the cleaner works beside them.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
