@@ -11,8 +11,8 @@ Equal sets are one node. Two nodes of sizes s <= t link when they share at least
 Lists of frequent shingles and groups of near copies can hold a large share of all nodes, so pairs are not made per
 list. First every node meets a few leaders of its lists, is checked against those it meets most often, and true links
 are contracted to components; this is repeated with other leaders. Lists whose members are in one component are done.
-Only members of different components then meet, and of these pairs only those are checked whose common lists leave
-room for enough common shingles. A shingle's frequency only sets the order: whatever it is, no link is lost.
+Only members of different components then meet, in cells of bounded size, and of these pairs only those are checked
+whose common lists leave room for enough common shingles. A shingle's frequency only sets the order: whatever it is, no link is lost.
 
 Lists are built in blocks: a map task sends, for each part of the shingle space, one row with the packed shingles of
 many documents, and a part is sorted by array operations. A list above `SPLIT` nodes is split over parts by node.
@@ -55,8 +55,8 @@ SPLIT, PER_PART = 4096, 1_000_000
 SIEVE_BITS = 24
 #: Rounds with leaders, leaders of a list and of a node, and the share of its lists in which a node must meet a leader.
 ROUNDS, LEADERS, CHECKED, LIKELY = 2, 8, 6, 0.65
-#: Nodes of a block of pairs.
-PER_BLOCK = 256
+#: Nodes of a block of pairs or of a part of a cell, lists counted at once, and the step of sizes (above 5/4).
+PER_BLOCK, LISTS_AT_ONCE, SIZE_STEP = 256, 4096, 1.26
 
 
 def needed(s: Column | np.ndarray | int, t: Column | np.ndarray | int):
@@ -333,9 +333,8 @@ def _blocked(pairs: DataFrame) -> DataFrame:
         "u", "v", F.xxhash64(F.least("at_u", "at_v"), F.greatest("at_u", "at_v")).alias("block")))
 
 
-def _true_links(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Of pairs (u, v), those whose whole sets share enough. `pairs` must be a stored table."""
-    blocked = _blocked(pairs)
+def _true_links(blocked: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Of pairs (u, v, block), those whose whole sets share enough. `blocked` must be a stored table."""
     ends = durable(blocked.select("block", F.col("u").alias("node")).unionByName(
         blocked.select("block", F.col("v").alias("node"))).distinct())
     sets = _sets(docs, text_col, _sieve(ends)).join(ends, "node")
@@ -354,10 +353,10 @@ def _true_links(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _in_mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of lists whose members are in several components, with their component's label."""
+    """The rows of lists whose members are in several components, with their component's label and the list's smallest node."""
     known = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_lists = durable(known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-                         .filter("lo <> hi").select("token"))
+    open_lists = durable(known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                                   F.min("node").alias("home")).filter("lo <> hi").select("token", "home"))
     return durable(known.join(open_lists, "token"))
 
 
@@ -390,18 +389,84 @@ def _with_leaders(rows: DataFrame, salt: int) -> DataFrame:
     return best.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """u, v: all pairs of different components that meet in lists often enough for a link to be possible.
+def pairs_in_cell(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a cell whose common lists leave room for a link.
 
     With k lists in common, the pair's other common shingles come after the listed ones of that set whose list ends
-    first, so they are no more than that set has unlisted ones.
+    first, so they are no more than that set has unlisted ones. Lists are counted as a product of matrices, some
+    thousand lists at a time.
     """
-    met = _met(rows, rows).filter("node_a < node_b").groupBy("node_a", "node_b").agg(
-        F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "last_a", "last_b")])
-    s, t, ends = F.col("n_a"), F.col("n_b"), F.col("last_a") - F.col("last_b")
-    of_s, of_t = (F.ceil(n * NUMERATOR / DENOMINATOR) - 1 for n in (s, t))
-    others = F.when(ends < 0, of_s).when(ends > 0, of_t).otherwise(F.greatest(of_s, of_t))
-    return met.filter(F.col("k") + others >= needed(s, t)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    lengths = cell["tokens"].map(len).to_numpy()
+    _, at, held = np.unique(np.concatenate(cell["tokens"].tolist()), return_inverse=True, return_counts=True)
+    row, several = np.repeat(np.arange(len(cell)), lengths), held > 1
+    column = (np.cumsum(several) - 1)[at]
+    row, column = row[several[at]], column[several[at]]
+    common = np.zeros((len(cell), len(cell)), np.float32)
+    for start in range(0, int(several.sum()), LISTS_AT_ONCE):
+        chosen = (column >= start) & (column < start + LISTS_AT_ONCE)
+        table = np.zeros((len(cell), min(LISTS_AT_ONCE, int(several.sum()) - start)), np.float32)
+        table[row[chosen], column[chosen] - start] = 1
+        common += table @ table.T
+    n, label, last, low, part = (cell[c].to_numpy() for c in ("n", "label", "last", "low", "part"))
+    a, b = np.nonzero(np.triu(common, 1))
+    ok = (label[a] != label[b]) & (low[a] | low[b]) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
+    if cell["i"].iat[0] != cell["j"].iat[0]:  # pairs of one part have their own cell
+        ok &= part[a] != part[b]
+    a, b = a[ok], b[ok]
+    unlisted = n - listed(n)
+    others = np.where(last[a] < last[b], unlisted[a], np.where(last[a] > last[b], unlisted[b], np.maximum(unlisted[a], unlisted[b])))
+    ok = common[a, b].astype(np.int64) + others >= needed(n[a], n[b])
+    return a[ok], b[ok]
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """u, v, block: all pairs of different components that meet in lists often enough for a link to be possible.
+
+    Lists with the same smallest node share a home, and near copies have few homes. A home's nodes of neighbouring
+    sizes are dealt to parts, and every two parts are a cell: a node is sent with all its lists to the cells of its
+    homes, which count in memory, instead of as one row for each list and partner.
+    """
+    nodes = durable(rows.groupBy("node").agg(
+        *[F.first(c).alias(c) for c in ("n", "label", "last")], F.collect_list("token").alias("tokens"), F.collect_set("home").alias("homes")))
+    of_size = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))  # similar sets are at most one step apart
+    at = nodes.select("node", "label", of_size.alias("own"), F.explode("homes").alias("home")).select(
+        "node", "label", "own", "home", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("step"))
+    sizes = durable(at.groupBy("home", "step").agg(
+        F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("own").alias("least"))
+        .filter("lo <> hi and least = step").select("home", "step", (F.floor(F.col("held") / PER_BLOCK) + 1).alias("parts")))
+    placed = at.join(sizes, ["home", "step"]).select(
+        "node", "home", "step", (F.col("own") == F.col("step")).alias("low"), "parts", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select(
+        "node", "home", "step", "low", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    key = ["home", "step", "i", "j"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # the last cell may go on in the next batch
+        for batch in batches:
+            edges = np.flatnonzero((batch[key].to_numpy()[1:] != batch[key].to_numpy()[:-1]).any(axis=1)) + 1
+            pieces = [batch.iloc[a:b] for a, b in zip([0, *edges], [*edges, len(batch)])]
+            if rest and (rest[0][key].iloc[0] == pieces[0][key].iloc[0]).all():
+                rest.append(pieces.pop(0))
+            if pieces:
+                yield found([pd.concat(rest, ignore_index=True), *pieces[:-1]] if rest else pieces[:-1])
+                rest = [pieces[-1]]
+        if rest:
+            yield found([pd.concat(rest, ignore_index=True)])
+
+    def found(ready: list[pd.DataFrame]) -> pd.DataFrame:
+        out = [pd.DataFrame({c: pd.Series(dtype="int64") for c in ("u", "v", *key)})]
+        for cell in ready:
+            if len(cell) > 1:
+                a, b = pairs_in_cell(cell)
+                if len(a):
+                    u, v = (cell["node"].to_numpy()[x] for x in (a, b))
+                    out.append(pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), **{c: cell[c].iat[0] for c in key}}))
+        return pd.concat(out, ignore_index=True)
+
+    sent = cells.join(nodes.select("node", "n", "label", "last", "tokens"), "node").repartition(*key).sortWithinPartitions(*key)
+    pairs = sent.mapInPandas(run, "u bigint, v bigint, home bigint, step bigint, i bigint, j bigint")
+    first = pairs.groupBy("u", "v").agg(F.min(F.struct(*key)).alias("cell"))
+    return first.select("u", "v", F.xxhash64("cell").alias("block"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -422,9 +487,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = durable(components(links))
     for salt in range(ROUNDS):
         lists = _in_mixed_lists(lists, labels)
-        links = links.unionByName(durable(_true_links(durable(_with_leaders(lists, salt)), docs, text_col)))
+        links = links.unionByName(durable(_true_links(_blocked(durable(_with_leaders(lists, salt))), docs, text_col)))
         labels = durable(components(links))
-        lists = lists.drop("label")
+        lists = lists.drop("label", "home")
     pairs = durable(_open_pairs(_in_mixed_lists(lists, labels)))
     links = links.unionByName(durable(_true_links(pairs, docs, text_col)))
     labels = durable(components(links))
