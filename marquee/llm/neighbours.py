@@ -5,6 +5,10 @@ a vector without looking at all of them. Every vector is indexed: in the list of
 at a boundary, in the lists of those about as near. A query opens the lists whose centroids are not much farther than
 its nearest one, by the ratio of their distances. Lists are searched as matrices, in Spark groups of bounded size.
 
+The ratio is measured: the true neighbours of a sample of queries are found by comparing them with all vectors, and the
+ratio is taken at which their lists hold `TARGET` of them. No number of lists bounds a query: where the graph's beam
+ends before the ratio does, all centroids are looked at.
+
 Equal vectors are indexed once, with the k + 1 smallest of their ids: as ties go to smaller ids, others can never be
 among the k nearest of any query. Equal queries are searched once. So a vector with a large share of all rows is one
 vector of one list. Lists and queries of a list are split into parts of at most about `PART`.
@@ -34,8 +38,10 @@ MOST_CENTROIDS = 4096
 LINKS, BEAM, ENTRIES = 16, 96, 16
 #: A vector joins lists of centroids up to (1 + NEAR) times as far as its nearest, at most COPIES of them.
 NEAR, COPIES = 0.08, 4
-#: A query opens lists of centroids up to (1 + OPEN) times as far as its nearest one.
+#: A query opens lists of centroids up to (1 + OPEN) times as far as its nearest one, or farther if TARGET of the true
+#: neighbours of PROBES queries need it.
 OPEN = 0.25
+TARGET, PROBES = 0.98, 256
 PART = 2048
 
 
@@ -119,6 +125,12 @@ class Graph:
         ids = np.where(sims > -np.inf, np.take_along_axis(ids, order, 1), -1)
         return ids, np.sqrt(np.maximum(0, 2 - 2 * np.maximum(sims, -1.0)))
 
+    def scan(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids and their distances for each unit vector, nearest first."""
+        sims = vectors @ self.centroids.T
+        ids = np.argsort(-sims, axis=1, kind="stable")
+        return ids, np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, ids, 1)))
+
 
 def _fit(vectors: DataFrame, n: int, length: int) -> Graph:
     """A graph of centroids from a sample of at most `SAMPLE` components, taken in the order of a hash."""
@@ -133,17 +145,29 @@ def _fit(vectors: DataFrame, n: int, length: int) -> Graph:
     return Graph(even_cells(sample, max(1, min(-(-n // LIST), MOST_CENTROIDS, len(sample) // 4))))
 
 
-def _lists_of(vectors: DataFrame, graph: Graph, chosen) -> DataFrame:
-    """`vectors` with one row for each list that chosen(ids, distances) tells."""
+def _lists_of(vectors: DataFrame, graph: Graph, chosen, all_chosen: bool = False) -> DataFrame:
+    """`vectors` with one row for each list that chosen(graph, ids, distances) tells.
+
+    With `all_chosen`, vectors for which all that the beam holds is chosen are compared with all centroids.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(graph)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 512):
                 part = batch.iloc[a: a + 512]
-                ids, distance = shared.value.search(unit(np.stack(part["vector"].to_numpy())))
-                at, rank = np.nonzero(chosen(shared.value, ids, distance) & (ids >= 0))
+                points = unit(np.stack(part["vector"].to_numpy()))
+                ids, distance = shared.value.search(points)
+                taken = chosen(shared.value, ids, distance) & (ids >= 0)
+                more = taken.all(axis=1) & all_chosen & (ids.shape[1] < len(shared.value.centroids))
+                at, rank = np.nonzero(taken & ~more[:, None])
                 yield part.iloc[at].assign(list=ids[at, rank])
+                if more.any():
+                    ids, distance = shared.value.scan(points[more])
+                    at, rank = np.nonzero(chosen(shared.value, ids, distance))
+                    for b in range(0, len(at), 16 * PART):  # a vector may have thousands of lists
+                        i, j = at[b: b + 16 * PART], rank[b: b + 16 * PART]
+                        yield part.iloc[np.flatnonzero(more)[i]].assign(list=ids[i, j])
 
     schema = vectors.select("*", F.lit(0).alias("list")).schema
     return vectors.mapInPandas(run, schema)
@@ -158,6 +182,39 @@ def _at_boundary(graph: Graph, ids: np.ndarray, distance: np.ndarray) -> np.ndar
     return take & (np.cumsum(take, axis=1) <= COPIES)
 
 
+def _needed_ratio(vectors: DataFrame, asking: DataFrame, posted: DataFrame, graph: Graph, k: int) -> float:
+    """The ratio of distances within which lists hold `TARGET` of the true neighbours of at most `PROBES` queries."""
+    probes = vectors.join(asking.select("node").distinct(), "node", "left_semi").select("node", "vector").orderBy(
+        F.xxhash64("node"), "node").limit(PROBES).collect()
+    if not probes:
+        return 1 + OPEN
+    nodes, points = np.array([r["node"] for r in probes]), unit(np.array([r["vector"] for r in probes]))
+    shared = vectors.sparkSession.sparkContext.broadcast((nodes, points))
+
+    def closest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, points = shared.value
+        for batch in batches:
+            for a in range(0, len(batch), 4096):
+                theirs = batch["node"].to_numpy()[a: a + 4096]
+                close = points @ unit(np.stack(batch["vector"].to_numpy()[a: a + 4096])).T
+                close[nodes[:, None] == theirs[None, :]] = -np.inf
+                most = min(len(theirs), k)
+                at = np.argpartition(-close, most - 1, axis=1)[:, :most]
+                yield pd.DataFrame({"probe": np.repeat(np.arange(len(nodes)), most), "node": theirs[at.ravel()],
+                                    "close": np.take_along_axis(close, at, 1).ravel()})
+
+    near = vectors.select("node", "vector").mapInPandas(closest, "probe int, node bigint, close double").filter("close > double('-infinity')")
+    true = durable(top_per_key(near, ["probe"], [F.desc("close"), F.col("node")], k))
+    lists = posted.select("node", "list").join(true.select("probe", "node"), "node").collect()  # PROBES * k * COPIES at most
+    if not lists:
+        return 1 + OPEN
+    distance = np.sqrt(np.maximum(0, 2 - 2 * points @ graph.centroids.T))
+    found = pd.DataFrame({"probe": [r["probe"] for r in lists], "node": [r["node"] for r in lists], "list": [r["list"] for r in lists]})
+    found["ratio"] = distance[found["probe"], found["list"]] / np.maximum(distance.min(axis=1), 1e-12)[found["probe"]]
+    ratios = np.sort(found.groupby(["probe", "node"])["ratio"].min().to_numpy())
+    return max(1 + OPEN, ratios[int(np.ceil(TARGET * len(ratios))) - 1] * (1 + 1e-9))
+
+
 def nearest(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id, score: the k nearest found of every row for which `queries` is true."""
     plain = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")
@@ -178,14 +235,15 @@ def nearest(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id"
     posted = durable(_lists_of(vectors, graph, _at_boundary))
     sizes = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}  # one row per centroid
     held = np.array([sizes.get(i, 0) for i in range(len(graph.centroids))])
+    asking = durable(plain.filter("asks").select("id", "vector").join(vectors.select("vector", "node"), "vector").select("id", "node"))
+    ratio = _needed_ratio(vectors, asking, posted, graph, k)
 
     def opened(graph: Graph, ids: np.ndarray, distance: np.ndarray) -> np.ndarray:
         """Lists within the ratio, and at any rate enough to hold several times k vectors."""
         there = np.where(ids >= 0, held[ids], 0)
-        return (distance <= (1 + OPEN) * distance[:, :1]) | (np.cumsum(there, axis=1) - there < 8 * (k + 1))
+        return (distance <= ratio * distance[:, :1]) | (np.cumsum(there, axis=1) - there < 8 * (k + 1))
 
-    asking = durable(plain.filter("asks").select("id", "vector").join(vectors.select("vector", "node"), "vector").select("id", "node"))
-    asked = durable(_lists_of(vectors.join(asking.select("node").distinct(), "node", "left_semi").select("node", "vector"), graph, opened))
+    asked = durable(_lists_of(vectors.join(asking.select("node").distinct(), "node", "left_semi").select("node", "vector"), graph, opened, True))
     loads = durable(asked.groupBy("list").agg((F.floor(F.count("*") / PART) + 1).alias("chunks")).join(
         posted.groupBy("list").agg((F.floor(F.count("*") / PART) + 1).alias("parts")), "list"))
     part, chunk = F.pmod(F.xxhash64("node"), F.col("parts")), F.pmod(F.xxhash64("node"), F.col("chunks"))

@@ -233,6 +233,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.filter("vec_id < 3"), F.lit(True)).count() == 6
 
 
+def test_neighbours_beyond_the_beam(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, "LIST", 8)  # 1,000 lists, of which the beam holds 96
+    table = spark.range(8000).select(F.col("id").alias("vec_id"), F.array(*[F.randn(seed=i) for i in range(64)]).alias("embedding")).localCheckpoint()
+    unit = np.array([r["embedding"] for r in table.orderBy("vec_id").collect()])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(table, F.col("vec_id") % 50 == 0).collect()}
+    hits = 0
+    for q in range(0, 8000, 50):
+        near = unit @ unit[q]
+        near[q] = -9
+        hits += sum((q, i) in got for i in np.argsort(-near)[:5].tolist())
+    assert hits >= 0.97 * 160 * 5
+
+
 def test_warc(spark):
     long = "<p>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(3, "https://www.Example.org:8080/a?b=1#c", long), (1, "http://example.org/b", long), (2, None, None), (4, "http://example.org/b", "short"),
