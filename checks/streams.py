@@ -69,7 +69,7 @@ def _(t: Tables):
     path = scratch(t.spark)
     finished(interactions.stream_merge_fact(
         interactions.stream_stage(envelope_stream(t)), f"{path}/fact", t.catalog(), f"{path}/checkpoint", f"{path}/staging",
-        clock=lambda: dt.datetime.fromisoformat(NOW), days=40))
+        clock=lambda: dt.datetime.fromisoformat(NOW)))
     stored = t.spark.read.parquet(f"{path}/fact")
     return stored.select("interaction_id", ts_text("ingestion_timestamp").alias("ingestion_timestamp"), "segment", "city")
 

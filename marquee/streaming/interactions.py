@@ -65,11 +65,15 @@ def stream_merge_fact(stream: DataFrame, target: str, catalog: DataFrame | Calla
     """Merges every micro-batch of staged interactions into the stored fact.
 
     A batch that is retried writes the same staging folder again and changes nothing it already did. A function as
-    `catalog` is asked for every batch, so that a running stream sees new events.
+    `catalog` is asked for every batch, so that a running stream sees new events. The lookback reaches back `days` days
+    or, for a batch with older arrivals (a stream that catches up), to the day before the oldest of them.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_into_path(batch.sparkSession, target, latest_interactions(batch), catalog() if callable(catalog) else catalog, clock(), staging,
-                        f"batch-{batch_id}", days, strict=False)
+        now = clock()
+        oldest = batch.agg(F.datediff(F.lit(now), F.min("ingestion_timestamp"))).first()[0]
+        reach = days if oldest is None else max(days, oldest + 1)
+        merge_into_path(batch.sparkSession, target, latest_interactions(batch), catalog() if callable(catalog) else catalog, now, staging,
+                        f"batch-{batch_id}", reach, strict=False)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _finite(writer, available_now).start()

@@ -75,3 +75,17 @@ def test_merged_stream_equals_batch_merges(spark, tmp_path):
     stored = spark.read.parquet(target).select(*FACT.fieldNames())
     assert sorted(map(str, stored.collect())) == sorted(map(str, pure.collect()))
     assert {(r.interaction_id, r.segment) for r in stored.collect()} == {("1", "Music"), ("2", "Music"), ("3", None)}
+
+
+def test_a_stream_that_catches_up_loses_nothing(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "fact")
+    catalog = spark.createDataFrame([("e1", "Music")], "id string, segment string")
+    day = dt.timedelta(days=1)
+    batches = [[("1", T0 - 30 * day, body("e1")), ("2", T0, body("e1"))],
+               [("3", T0 - 9 * day, body("e1")), ("1", T0 - 30 * day, body("e1")), ("2", T0 - 8 * day, body("e1"))]]
+    for messages in batches:
+        drop(spark, source, *messages)
+        interactions.stream_merge_fact(interactions.stream_stage(stream(spark, source)), target, catalog, str(tmp_path / "state"),
+                                       str(tmp_path / "staging"), clock=lambda: T0 + day).awaitTermination()
+    stored = spark.read.parquet(target).collect()
+    assert sorted((r.interaction_id, r.ingestion_timestamp) for r in stored) == [("1", T0 - 30 * day), ("2", T0), ("3", T0 - 9 * day)]
