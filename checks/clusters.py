@@ -107,11 +107,11 @@ def _(t: Tables):
 
 
 def swept(t: Tables):
-    """Prepared and scaled user features with the sweep's result. Fewer starts than the default, to keep checks short."""
+    """Prepared and scaled user features with the result of the whole sweep, at the operator's defaults."""
     users = durable(prepared_features(t.clean()))
     columns = features.feature_columns(users)
     scaled = durable(clustering.scale_features(users, columns))
-    metrics, models = clustering.sweep_k(scaled, columns, ks=range(2, 6), n_init=3, parallelism=8)
+    metrics, models = clustering.sweep_k(scaled, columns, parallelism=8)
     return users, scaled, columns, metrics, models
 
 

@@ -243,13 +243,15 @@ def assignments(model: KMeansModel, df: DataFrame, columns: Sequence[str]) -> Da
 
 
 def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 9), seed: int = 42, n_init: int = 20,
-            metric: str = "squared", max_iter: int = 300, parallelism: int = 4
+            metric: str = "squared", max_iter: int = 300, parallelism: int = 4, rows_per_partition: int = ROWS_PER_PARTITION
             ) -> tuple[DataFrame, dict[int, KMeansModel]]:
     """Fit K-Means for every k, keeping the best of `n_init` starts, and measure each winner.
 
     Returns the measures, one row per k, and the models. A k below 2 or not below the number of rows
     is skipped. `metric="euclidean"` takes the silhouette of all pairs of rows, which is quadratic. The starts of
-    all k are independent jobs and run `parallelism` at a time over one stored matrix.
+    all k are independent jobs and run `parallelism` at a time over one stored matrix. Its rows are dealt out and ordered
+    by a hash of their content, in partitions of about `rows_per_partition`, so that a seed's starts do not depend on the
+    cluster or on how `df` was partitioned.
     """
     spark = df.sparkSession
     matrix = durable(assemble(df, columns))
@@ -257,11 +259,10 @@ def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2,
     valid = [k for k in ks if 2 <= k < n]
     if not valid:
         raise ValueError("No valid k to fit.")
-    # A fit is many short jobs over the matrix, so a small matrix should not be in many partitions.
-    vectors = matrix.select("features")
-    parts = math.ceil(n / ROWS_PER_PARTITION)
-    if parts < spark.sparkContext.defaultParallelism:
-        vectors = vectors.coalesce(parts)
+    parts = math.ceil(n / rows_per_partition)
+    content = F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    dealt = matrix.select("features", *columns, content.alias("_content")).repartition(parts, "_content")
+    vectors = dealt.sortWithinPartitions("_content", *columns).select("features")
     vectors = vectors.persist()
 
     def fit(task: tuple[int, int]) -> tuple[int, float, KMeansModel]:

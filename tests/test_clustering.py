@@ -1,8 +1,11 @@
+import inspect
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import clusters
 from marquee.operators import clustering, features
 from marquee.plans.user_segments import segment_users
 from marquee.sources import sinks
@@ -41,6 +44,26 @@ def test_sweep_finds_the_blobs(spark, blobs):
         clustering.sweep_k(blobs, ["a", "b"], ks=[1])
 
 
+def test_starts_do_not_depend_on_partitions(spark, blobs):
+    found = []
+    for df in (blobs.coalesce(1), blobs.orderBy(F.desc("b")).repartition(5), blobs.repartition(11, "a")):
+        _, models = clustering.sweep_k(df, ["a", "b"], ks=[5, 7], n_init=1, rows_per_partition=9)
+        found.append(sorted(tuple(round(float(x), 9) for x in c) for model in models.values() for c in model.clusterCenters()))
+    assert found[0] == found[1] == found[2]
+
+
+def test_registered_sweep_runs_the_defaults(monkeypatch):
+    real, seen = inspect.signature(clustering.sweep_k), []
+    monkeypatch.setattr(clusters, "durable", lambda df: df)
+    monkeypatch.setattr(clusters, "prepared_features", lambda df: df)
+    monkeypatch.setattr(features, "feature_columns", lambda df: [])
+    monkeypatch.setattr(clustering, "scale_features", lambda df, columns: df)
+    monkeypatch.setattr(clustering, "sweep_k", lambda *a, **b: seen.append(real.bind(*a, **b)) or (None, {}))
+    clusters.swept(SimpleNamespace(clean=lambda: None))
+    seen[0].apply_defaults()
+    assert list(seen[0].arguments["ks"]) == [2, 3, 4, 5, 6, 7, 8] and seen[0].arguments["n_init"] == 20
+
+
 def test_ties_choose_the_smaller_k(spark):
     rows = spark.createDataFrame([(5, 0.4), (3, 0.4), (4, 0.1), (2, None)], "k int, silhouette double")
     assert clustering.select_k(rows) == 3
