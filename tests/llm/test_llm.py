@@ -206,6 +206,24 @@ def test_pseudonyms(spark, empty):
     assert pseudonyms.pseudonymise(empty, "key").count() == 0
 
 
+def test_pseudonyms_of_more_forms(spark):
+    values = [("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "NL91ABNA0417164300"), ("iban", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"),
+              ("iban", "FR14 2004 1010 0505 0001 3M02 606"), ("card", "3782 822463 10005"), ("ssn", "123-45-6789"),
+              ("date", "25/12/2024"), ("date", "12/25/2024"), ("date", "25.12.2024"), ("date", "2024/12/25")]
+    docs = spark.createDataFrame([(i, f"see {v} AND more") for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(docs, "key").collect()}
+    made = [got[i]["values"][0]["pseudonym"] for i in range(len(values))]
+    for i, (kind, value) in enumerate(values):
+        assert [(v["kind"], v["value"]) for v in got[i]["values"]] == [(kind, value)] and got[i]["text"] == f"see {made[i]} AND more"
+        shape = lambda text: "".join("0" if c.isdigit() else "A" if c.isalpha() else c for c in text)
+        assert shape(made[i]) == shape(value) and made[i] != value
+    again = spark.createDataFrame([(i, m) for i, m in enumerate(made)], "doc_id long, text string").select("doc_id", pseudonyms.kind_of(F.col("text")).alias("k"))
+    assert [r["k"] for r in again.orderBy("doc_id").collect()] == [k for k, _ in values]
+    assert made[0][5:9] != "WEST" and made[5][:6] != "123-45" and int(made[6][:2]) > 12
+    numbers = spark.range(3000).select(F.concat(F.lpad((F.col("id") % 600 + 1).cast("string"), 3, "0"), F.lit("-01-000"), (F.col("id") % 5 + 1).cast("string")).alias("v")).distinct()
+    assert numbers.select(pseudonyms.pseudonym(F.col("v"), "key")).distinct().count() == numbers.count()
+
+
 def test_neighbours(spark):
     import numpy as np
 
