@@ -270,15 +270,14 @@ def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2,
         model = KMeans(featuresCol="features", k=k, seed=seed + start, maxIter=max_iter, tol=1e-4).fit(vectors)
         return k, model.summary.trainingCost, model
 
+    best: dict[int, tuple[float, KMeansModel]] = {}
     try:
-        with ThreadPool(parallelism) as pool:
-            fitted = pool.map(inheritable_thread_target(fit), [(k, start) for k in valid for start in range(n_init)])
+        with ThreadPool(parallelism) as pool:  # one model per k is held, the others are dropped as they come
+            for k, cost, model in pool.imap(inheritable_thread_target(fit), [(k, start) for k in valid for start in range(n_init)]):
+                if k not in best or cost < best[k][0]:
+                    best[k] = (cost, model)
     finally:
         vectors.unpersist()
-    best: dict[int, tuple[float, KMeansModel]] = {}
-    for k, cost, model in fitted:
-        if k not in best or cost < best[k][0]:
-            best[k] = (cost, model)
 
     labelled, names = matrix, {f"k{k}": k for k in valid}
     for name, k in names.items():
