@@ -121,7 +121,7 @@ class Tables:
     def catalog(self) -> DataFrame:
         key = F.col("p_partkey")
         part = self.read("part").withColumns({
-            "c_city": (key % 25).cast("int"), "c_venue": key % 10})
+            "c_city": (key % 25).cast("int"), "c_venue": key % self.n_venues()})
         nation = self.read("nation").select(F.col("n_nationkey").alias("c_city"), "n_name")
         venue = self.read("supplier").select(
             F.col("s_suppkey").alias("c_venue"), "s_name",
@@ -155,6 +155,10 @@ class Tables:
             .otherwise(F.col("p_retailprice") + F.col("p_size")).alias("price_max"),
         )
 
+    def n_venues(self) -> Column:
+        """Events and places are spread over all suppliers."""
+        return self.read("supplier").agg(F.count("*")).scalar()
+
     def venues(self) -> DataFrame:
         return self.read("supplier").select(
             F.col("s_suppkey").cast("string").alias("venue_id"), F.col("s_name").alias("venue_name"),
@@ -163,7 +167,7 @@ class Tables:
 
     def places(self) -> DataFrame:
         key = F.col("c_custkey")
-        base = key % 10
+        base = key % self.n_venues()
         word = F.col("c_mktsegment")
         kinds = (F.when(word.isin("BUILDING", "FURNITURE"), F.array(F.lit("restaurant"), F.lit("bar")))
                  .when(word == "HOUSEHOLD", F.array(F.lit("lodging"), F.lit("hostel"), F.lit("hotel")))
@@ -266,7 +270,7 @@ CTES = {
                CASE WHEN p_partkey % 5 = 0 THEN 'cancelled' ELSE 'onsale' END AS status,
                CASE WHEN p_partkey % 29 <> 0 THEN p_type END AS segment,
                CASE WHEN p_partkey % 43 = 1 THEN 'Undefined' WHEN p_partkey % 31 <> 0 THEN p_brand END AS genre,
-               p_name AS subgenre, CAST(p_partkey % 10 AS VARCHAR) AS venue_id, s_name AS venue_name,
+               p_name AS subgenre, CAST(s_suppkey AS VARCHAR) AS venue_id, s_name AS venue_name,
                CASE WHEN p_partkey % 37 <> 0 THEN n_name END AS city,
                'Street ' || (p_partkey % 50) AS address,
                CASE WHEN p_partkey % 23 <> 0 THEN v_lat END AS latitude,
@@ -280,7 +284,7 @@ CTES = {
         JOIN nation ON n_nationkey = p_partkey % 25
         JOIN (SELECT s_suppkey, s_name, CAST(36 + (s_suppkey * 37 % 700) / 100.0 AS DOUBLE) AS v_lat,
                      CAST(-9 + (s_suppkey * 53 % 1200) / 100.0 AS DOUBLE) AS v_lng FROM supplier)
-          ON s_suppkey = p_partkey % 10""",
+          ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)""",
     "fact": """
         SELECT l.interaction_id, l.event_timestamp, l.user_id, l.session_id, l.event_id, l.interaction_type,
                l.swipe_direction, l.liked, l.recommendation_context, c.segment, c.genre, c.subgenre, c.city,
@@ -301,14 +305,14 @@ CTES = {
                CAST(-9 + (s_suppkey * 53 % 1200) / 100.0 AS DOUBLE) AS longitude FROM supplier""",
     "places": """
         SELECT CAST(c_custkey AS VARCHAR) AS place_id, c_name AS place_name,
-               CAST(36 + (c_custkey % 10 * 37 % 700) / CAST(100 AS DOUBLE)
+               CAST(36 + (base * 37 % 700) / CAST(100 AS DOUBLE)
                     + (c_custkey * 7 % 101 - 50) / CAST(1000 AS DOUBLE) AS DOUBLE) AS latitude,
-               CAST(-9 + (c_custkey % 10 * 53 % 1200) / CAST(100 AS DOUBLE)
+               CAST(-9 + (base * 53 % 1200) / CAST(100 AS DOUBLE)
                     + (c_custkey * 11 % 103 - 51) / CAST(1000 AS DOUBLE) AS DOUBLE) AS longitude,
                CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN ['restaurant', 'bar']
                     WHEN c_mktsegment = 'HOUSEHOLD' THEN ['lodging', 'hostel', 'hotel']
                     WHEN c_mktsegment = 'MACHINERY' THEN ['lodging'] ELSE ['motel', 'spa'] END AS types
-        FROM customer""",
+        FROM (SELECT *, c_custkey % (SELECT count(*) FROM supplier) AS base FROM customer)""",
     "users": """
         SELECT CAST(c_custkey AS VARCHAR) AS id,
                CASE WHEN c_custkey % 4 <> 0 THEN 'uid-' || c_custkey END AS auth_uid,

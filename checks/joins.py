@@ -124,15 +124,16 @@ def _(t: Tables):
 
 
 @query("enrich_venue_updates", """
-    SELECT DISTINCT venue_id, 'asked ' || venue_name AS nearby, '2024-02-14 00:00:00.000000' AS expires_at
-    FROM catalog WHERE latitude IS NOT NULL AND CAST(venue_id AS BIGINT) % 3 <> 0""")
+    SELECT venue_id, 'asked ' || any_value(venue_name) AS nearby, '2024-02-14 00:00:00.000000' AS expires_at,
+           any_value(venue_name) AS venue_name, min(city) AS city, any_value(latitude) AS latitude, any_value(longitude) AS longitude
+    FROM catalog WHERE latitude IS NOT NULL AND CAST(venue_id AS BIGINT) % 3 <> 0 GROUP BY venue_id""")
 def _(t: Tables):
     key = F.col("venue_id").cast("bigint")
     cache = t.venues().filter(key % 3 == 0).select(
         "venue_id", F.lit("cached").alias("nearby"), (now() + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
     ask = lambda missing: missing.select("venue_id", F.concat(F.lit("asked "), "venue_name").alias("nearby"))
     _enriched, updates = enrich.enrich_venue(t.catalog(), cache, ask, now(), VENUE_OUT)
-    return updates.select("venue_id", "nearby", ts_text("expires_at").alias("expires_at"))
+    return updates.select("venue_id", "nearby", ts_text("expires_at").alias("expires_at"), "venue_name", "city", "latitude", "longitude")
 
 
 def attributes(rows, source: str):
@@ -303,14 +304,16 @@ def _(t: Tables):
 
 
 @query("erase_users", """
-    SELECT 'users' AS name, count(*) AS n FROM users WHERE CAST(id AS BIGINT) % 6 <> 0
-    UNION ALL SELECT 'saved', count(*) FROM saved WHERE CAST(user_id AS BIGINT) % 6 <> 0
-    UNION ALL SELECT 'plans', count(*) FROM plan_headers WHERE CAST(user_id AS BIGINT) % 6 <> 0""")
+    SELECT 'users' AS name, id AS user_id, email AS item FROM users WHERE CAST(id AS BIGINT) % 6 <> 0
+    UNION ALL SELECT 'saved', user_id, event_id FROM saved WHERE CAST(user_id AS BIGINT) % 6 <> 0
+    UNION ALL SELECT 'plans', user_id, CAST(plan_id AS VARCHAR) FROM plan_headers WHERE CAST(user_id AS BIGINT) % 6 <> 0""")
 def _(t: Tables):
     ids = t.users().filter(F.col("id").cast("bigint") % 6 == 0).select("id")
     left = lifecycle.erase_users({"users": t.users(), "saved": t.saved(), "plans": t.plan_headers()}, ids)
-    counts = [frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, frame in left.items()]
-    return counts[0].union(counts[1]).union(counts[2])
+    shown = {"users": ("id", "email"), "saved": ("user_id", "event_id"), "plans": ("user_id", "plan_id")}
+    rows = [frame.select(F.lit(name).alias("name"), F.col(shown[name][0]).alias("user_id"), F.col(shown[name][1]).cast("string").alias("item"))
+            for name, frame in left.items()]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 def sign_ins(t: Tables):

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.base import NOW, Tables, now, query, r6, scratch, ts_text
 from checks.projections import GOOD_RAW, fact_text, raw_events
 from marquee.operators import catalog, marts, staging
-from marquee.plans.catalogue_batch import run_catalogue_batch
+from marquee.plans.catalogue_batch import CatalogueStore, run_catalogue_batch
 from marquee.scale import durable
 from marquee.schemas import FACT, WAREHOUSE
-from marquee.sources import readers, sinks
+from marquee.sources import commits, readers, sinks
+from marquee.sources.stored import KeyedTable
 
 RUN = dt.datetime(2024, 1, 31)
 
 
-@query("read_event_pages", "SELECT id, segment, city FROM catalog WHERE CAST(id AS BIGINT) % 12 <> 0")
+@query("read_event_pages", "SELECT id, CASE WHEN CAST(id AS BIGINT) % 12 <> 0 THEN segment END AS segment, city FROM catalog")
 def _(t: Tables):
     path = scratch(t.spark)
     pages = raw_events(t).withColumn("e", F.struct("*")).groupBy(
@@ -27,7 +30,7 @@ def _(t: Tables):
     pages.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     empty.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
     events = catalog.flatten_event(readers.read_event_pages(t.spark, path))
-    return events.filter(F.col("id").cast("bigint") % 12 != 0).select("id", "segment", "city")
+    return events.select("id", "segment", "city")
 
 
 @query("event_window", """
@@ -148,15 +151,42 @@ def _(t: Tables):
         F.count("*").alias("n"), F.count_if("liked").alias("likes"))
 
 
+class Stopped(Exception):
+    pass
+
+
+@contextlib.contextmanager
+def stopped_while_moving():
+    """Lets a run publish its manifest and one file, then ends it as a lost driver would."""
+    real, moves = commits.Files.move, []
+
+    def move(self, source, target):
+        if len(moves) == 2:
+            raise Stopped
+        moves.append(target)
+        real(self, source, target)
+
+    commits.Files.move = move
+    try:
+        yield
+    except Stopped:
+        pass
+    finally:
+        commits.Files.move = real
+
+
 @query("merge_into_path", """
     SELECT interaction_id, strftime(ingestion_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS ingestion_timestamp, segment FROM fact""")
 def _(t: Tables):
-    """A stored fact lacks the last day and a half; two runs of the same merge add it once."""
+    """A stored fact lacks the last day and a half. One run stops with its files staged and half of them moved; the next
+    finishes it, and a third adds nothing."""
     path, work = scratch(t.spark), scratch(t.spark)
     staged = durable(t.staged())
     cut = F.lit("2024-01-29 12:00:00").cast("timestamp")
     before = marts.latest_interactions(staged.filter(F.col("ingestion_timestamp") <= cut))
     marts.write_fact(marts.fact_projection(marts.enrich_fact(before, t.catalog())), path)
+    with stopped_while_moving():
+        marts.merge_into_path(t.spark, path, staged, t.catalog(), dt.datetime.fromisoformat(NOW), work, "one", strict=False)
     for run in ("one", "two"):
         marts.merge_into_path(t.spark, path, staged, t.catalog(), dt.datetime.fromisoformat(NOW), work, run, strict=False)
     stored = t.spark.read.schema(FACT).parquet(path)
@@ -197,11 +227,14 @@ def _(t: Tables):
         F.bround("latitude", 3).alias("latitude"), F.bround("longitude", 3).alias("longitude"),
         F.col("day").cast("string").alias("event_date"), F.lit(20.0).alias("temp_max"), F.lit(5.0).alias("temp_min"),
         F.lit(0.0).alias("rain_mm"), F.lit(0).cast("bigint").alias("weather_code"), F.lit(9.0).alias("wind_max_kmh"))
-    run = run_catalogue_batch(
+    no_documents, no_venues = T.StructType([WAREHOUSE["id"]]), T.StructType([WAREHOUSE["venue_id"]])
+    store = CatalogueStore(*[KeyedTable(t.spark, f"{path}/{name}", [schema[0].name], schema, f"{path}/{name}-staging", 4) for name, schema in (
+        ("documents", no_documents), ("venues", no_venues), ("semantics", no_attributes.schema))])
+    run_catalogue_batch(
         t.spark, f"{path}/pages", f"{path}/raw", f"{path}/dead", f"{path}/warehouse", nothing_near, near, no_attributes,
-        lambda missing: attributes(missing, "mood"), forecast, RUN)
+        lambda missing: attributes(missing, "mood"), forecast, RUN, store)
     stored = t.spark.read.parquet(f"{path}/warehouse").select("id")
-    return run.documents.join(stored, "id", "left_semi").select(
+    return store.documents.read().join(stored, "id", "left_semi").select(
         "id", "venue_id", F.get("nearby_restaurants", 0)["name"].alias("nearby"), "mood",
         F.col("weather").isNotNull().alias("has_weather"))
 

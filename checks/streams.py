@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import posixpath
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.base import NOW, Tables, query, scratch, ts_text
+from checks.base import Tables, query, scratch, ts_text
 from marquee.schemas import ENVELOPE
 from marquee.streaming import interactions
 
@@ -68,8 +67,7 @@ def _(t: Tables):
 def _(t: Tables):
     path = scratch(t.spark)
     finished(interactions.stream_merge_fact(
-        interactions.stream_stage(envelope_stream(t)), f"{path}/fact", t.catalog(), f"{path}/checkpoint", f"{path}/staging",
-        clock=lambda: dt.datetime.fromisoformat(NOW)))
+        interactions.stream_stage(envelope_stream(t)), f"{path}/fact", t.catalog(), f"{path}/checkpoint", f"{path}/staging"))
     stored = t.spark.read.parquet(f"{path}/fact")
     return stored.select("interaction_id", ts_text("ingestion_timestamp").alias("ingestion_timestamp"), "segment", "city")
 

@@ -42,7 +42,7 @@ def per_batch(setup: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schem
 
 
 def cache_aside(df: DataFrame, cache: DataFrame, keys: list[str], valid: Column, fn: Callable[[DataFrame], DataFrame],
-                out_schema: T.StructType, request: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                out_schema: T.StructType, request: Sequence[str] = (), keep_request: bool = False) -> tuple[DataFrame, DataFrame]:
     """Look rows up in a cache and ask `fn` once per distinct missing key.
 
     `fn` takes one row per missing key (keys and `request` columns) and gives keys plus the columns of
@@ -51,7 +51,7 @@ def cache_aside(df: DataFrame, cache: DataFrame, keys: list[str], valid: Column,
 
     A key shared by many rows is asked for once, and only its answer travels to the rows. The answers are stored before
     they are used, so `fn` is not asked again for the updates. Of several valid cache rows of a key, or several answers,
-    the greatest in the order of their other columns counts.
+    the greatest in the order of their other columns counts. `keep_request` adds the `request` columns to what is to store.
     """
     fields = out_schema.fieldNames()
     base = df.drop(*fields)
@@ -68,9 +68,10 @@ def cache_aside(df: DataFrame, cache: DataFrame, keys: list[str], valid: Column,
     missing = top_per_key(wanted, keys, order or [F.col(keys[0])]).join(usable.select(*keys), keys, "left_anti")
     answered = fn(missing).select(*keys, *[F.col(f.name).cast(f.dataType).alias(f.name) for f in out_schema.fields])
     something = F.expr(" OR ".join(f"`{name}` IS NOT NULL" for name in fields))
-    fresh = durable(unique(answered.filter(something)))
+    new = unique(answered.filter(something))
+    fresh = durable(new.join(missing, keys) if keep_request else new)
 
-    answers = merge_hits_misses(usable, fresh)
+    answers = merge_hits_misses(usable, fresh.select(*keys, *fields))
     enriched = spread_join(keyed, answers, keys)
     # Rows without a key skip the join; they would all meet in one partition.
     passed = base.filter(any_null)
@@ -87,7 +88,8 @@ def enrich_venue(df: DataFrame, cache: DataFrame, fn: Callable[[DataFrame], Data
                  out_schema: T.StructType = VENUE_ANSWER) -> tuple[DataFrame, DataFrame]:
     """Nearby places of each event's venue. A cached venue is used until `expires_at`; fresh answers last two weeks.
 
-    Events without a venue or coordinates pass through untouched.
+    Events without a venue or coordinates pass through untouched. A row to store also has the venue's name, city and
+    coordinates, those of its least event.
     """
     located = F.col("venue_id").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     request = ["venue_name", "city", "latitude", "longitude"]
@@ -98,7 +100,7 @@ def enrich_venue(df: DataFrame, cache: DataFrame, fn: Callable[[DataFrame], Data
     def ask(missing: DataFrame) -> DataFrame:
         return fn(missing.withColumnRenamed("_venue", "venue_id")).withColumnRenamed("venue_id", "_venue")
 
-    enriched, fresh = cache_aside(keyed, stored, ["_venue"], valid, ask, out_schema, request)
+    enriched, fresh = cache_aside(keyed, stored, ["_venue"], valid, ask, out_schema, request, keep_request=True)
     updates = fresh.withColumnRenamed("_venue", "venue_id").withColumns(
         {"created_at": now, "expires_at": expiry(now, 14)})
     return enriched.drop("_venue"), updates

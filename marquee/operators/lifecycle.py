@@ -19,10 +19,10 @@ MESSAGES_PER_PAGE = 1000
 def save_if_absent(saved: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to insert, conflicting rows). One row per (user, event) may exist; of a batch the earliest wins.
 
-    `rows` has a unique `id` and `created_at`.
+    `rows` has a unique `id` and `created_at`. Rows without user or event are refused: they are among the conflicting ones.
     """
     key = ["user_id", "event_id"]
-    first = top_per_key(rows, key, [F.col("created_at").asc_nulls_last(), F.col("id")])
+    first = top_per_key(rows.dropna(how="any", subset=key), key, [F.col("created_at").asc_nulls_last(), F.col("id")])
     fresh = first.join(saved.select(*key), key, "left_anti")
     return fresh, rows.join(fresh.select("id"), "id", "left_anti")
 

@@ -13,11 +13,27 @@ from marquee.operators import catalog, enrich
 from marquee.scale import durable
 from marquee.schemas import ARRIVAL_ADVICE, WAREHOUSE
 from marquee.sources import readers, sinks
+from marquee.sources.stored import KeyedTable
+
+
+@dataclass(frozen=True)
+class CatalogueStore:
+    """Keyed tables that runs keep up to date: documents by `id`, venues by `venue_id`, attributes by `cache_id`."""
+
+    documents: KeyedTable
+    venues: KeyedTable
+    semantics: KeyedTable
+
+    def save(self, run: CatalogueRun, run_id: str) -> None:
+        """Documents keep fields that a run lacks. Each table survives a stop by itself; a repeated run changes nothing."""
+        self.documents.upsert(run.documents, F.col("starts_at").desc_nulls_last(), run_id)
+        self.venues.upsert(run.venue_updates, F.col("expires_at").desc(), run_id)
+        self.semantics.upsert(run.semantic_updates, F.col("cache_id"), run_id)
 
 
 @dataclass(frozen=True)
 class CatalogueRun:
-    """Tables of a run that the caller stores: the enriched documents and the cache rows to add."""
+    """Tables of a run: the enriched documents and the cache rows to add."""
 
     documents: DataFrame
     venue_updates: DataFrame
@@ -27,8 +43,8 @@ class CatalogueRun:
 def run_catalogue_batch(spark: SparkSession, pages: str, raw_path: str, dead_letter_path: str, warehouse_path: str,
                         venue_cache: DataFrame, venue_answers: Callable[[DataFrame], DataFrame],
                         semantic_cache: DataFrame, semantic_answers: Callable[[DataFrame], DataFrame],
-                        forecast: DataFrame, now: dt.datetime) -> CatalogueRun:
-    """`now` stamps the run and decides which cached venues are still good."""
+                        forecast: DataFrame, now: dt.datetime, store: CatalogueStore | None = None) -> CatalogueRun:
+    """`now` stamps the run and decides which cached venues are still good. With a `store`, the run is saved there."""
     sinks.land_documents(readers.read_page_documents(spark, pages), raw_path, now)
     good, bad = catalog.split_valid(readers.read_event_pages(spark, pages), catalog.raw_event_rules())
     rejected = bad.unionByName(readers.malformed_pages(spark, pages), allowMissingColumns=True)
@@ -40,4 +56,7 @@ def run_catalogue_batch(spark: SparkSession, pages: str, raw_path: str, dead_let
     # Two sinks read the result and remote answers must not be asked for twice.
     documents = durable(enrich.enrich_weather(described, forecast))
     sinks.append_new(documents, warehouse_path, WAREHOUSE, "event_date")
-    return CatalogueRun(documents, venue_updates, semantic_updates)
+    run = CatalogueRun(documents, venue_updates, semantic_updates)
+    if store is not None:
+        store.save(run, f"run-{now:%Y%m%d_%H%M%S}")
+    return run

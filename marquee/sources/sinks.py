@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import posixpath
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 from marquee.operators.catalog import project_warehouse
 from marquee.operators.marts import new_events_only
 from marquee.scale import top_per_key
+from marquee.sources import commits
 
 
 def _run_folder(path: str, run_ts: dt.datetime) -> str:
@@ -40,9 +40,17 @@ def write_dead_letters(bad: DataFrame, path: str, run_ts: dt.datetime) -> None:
     lines.write.mode("overwrite").text(_run_folder(path, run_ts))
 
 
+def _keyed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with a whole key. As in any keyed store, NULL is no key: such rows would all be one."""
+    return rows.dropna(how="any", subset=key)
+
+
 def upsert_by_key(target: DataFrame, updates: DataFrame, key: list[str], order_by: Column) -> DataFrame:
-    """Keyed write: columns the updates carry overwrite, columns they lack stay, the last write of a key wins."""
-    newest = top_per_key(updates, key, [order_by])
+    """Keyed write: columns the updates carry overwrite, columns they lack stay, the last write of a key wins.
+
+    Updates without a whole key are refused.
+    """
+    newest = top_per_key(_keyed(updates, key), key, [order_by])
     changed = [name for name in updates.columns if name not in key]
     columns = list(target.columns) + [name for name in changed if name not in target.columns]
     marked = newest.select(*key, F.struct(*changed).alias("_new"))
@@ -68,18 +76,16 @@ def append_new(df: DataFrame, path: str, schema: T.StructType, partition: str, k
     """Append the rows whose key is not stored yet, projected to the schema; makes the table if missing."""
     spark = df.sparkSession
     rows = project_warehouse(df, schema)
-    try:
-        existing = spark.read.parquet(path).select(key)
-    except AnalysisException:
-        existing = spark.createDataFrame([], T.StructType([schema[key]]))
+    stored = commits.Files(spark, path).data_files()
+    existing = spark.read.parquet(path).select(key) if stored else spark.createDataFrame([], T.StructType([schema[key]]))
     fresh = new_events_only(rows, existing, key, dedupe=True)
     fresh.repartitionByRange(partition, key).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Target plus the rows whose key it lacks; of equal keys among the rows one is taken."""
+    """Target plus the rows whose key it lacks; of equal keys among the rows one is taken, rows without a whole key are refused."""
     order = [F.col(name).asc_nulls_last() for name in rows.columns if name not in key]
-    fresh = top_per_key(rows, key, order or [F.col(key[0])]).join(target.select(*key), key, "left_anti")
+    fresh = top_per_key(_keyed(rows, key), key, order or [F.col(key[0])]).join(target.select(*key), key, "left_anti")
     return target.unionByName(fresh, allowMissingColumns=True)
 
 

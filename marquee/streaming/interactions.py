@@ -5,7 +5,6 @@ The transformations are the batch ones, applied to a streaming DataFrame.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marquee.functions.instants import parse_instant
-from marquee.operators.marts import latest_interactions, merge_into_path
+from marquee.operators.marts import merge_by_index
 from marquee.operators.quality import check_freshness
 from marquee.operators.staging import MESSAGE_FIELDS, message_fields, stage_interactions, valid_messages
 
@@ -61,19 +60,15 @@ def stream_dedupe(stream: DataFrame, delay: str = "3 days") -> DataFrame:
 
 
 def stream_merge_fact(stream: DataFrame, target: str, catalog: DataFrame | Callable[[], DataFrame], checkpoint: str, staging: str,
-                      clock: Callable[[], dt.datetime], days: int = 3, available_now: bool = True) -> StreamingQuery:
+                      available_now: bool = True) -> StreamingQuery:
     """Merges every micro-batch of staged interactions into the stored fact.
 
-    A batch that is retried writes the same staging folder again and changes nothing it already did. A function as
-    `catalog` is asked for every batch, so that a running stream sees new events. The lookback reaches back `days` days
-    or, for a batch with older arrivals (a stream that catches up), to the day before the oldest of them.
+    A batch that is retried finishes what it left and changes nothing it already did. A function as `catalog` is asked for
+    every batch, so that a running stream sees new events. Arrivals may be of any age: the table's version index tells which
+    days hold older versions, so a stray old row makes a batch read its own day, not all days since.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        now = clock()
-        oldest = batch.agg(F.datediff(F.lit(now), F.min("ingestion_timestamp"))).first()[0]
-        reach = days if oldest is None else max(days, oldest + 1)
-        merge_into_path(batch.sparkSession, target, latest_interactions(batch), catalog() if callable(catalog) else catalog, now, staging,
-                        f"batch-{batch_id}", reach, strict=False)
+        merge_by_index(batch.sparkSession, target, batch, catalog() if callable(catalog) else catalog, staging, f"batch-{batch_id}")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _finite(writer, available_now).start()

@@ -68,7 +68,7 @@ def test_merged_stream_equals_batch_merges(spark, tmp_path):
     for messages in batches:
         drop(spark, source, *messages)
         interactions.stream_merge_fact(interactions.stream_stage(stream(spark, source)), target, catalog, str(tmp_path / "state"),
-                                       str(tmp_path / "staging"), clock=lambda: now).awaitTermination()
+                                       str(tmp_path / "staging")).awaitTermination()
         rows = [("sub", m, at, data.decode(), None) for m, at, data in messages]
         staged = valid_messages(stage_interactions(spark.createDataFrame(rows, ENVELOPE)))
         pure = spark.createDataFrame(merge_incremental(pure, staged, catalog, F.lit(now), strict=False).collect(), FACT)
@@ -86,6 +86,6 @@ def test_a_stream_that_catches_up_loses_nothing(spark, tmp_path):
     for messages in batches:
         drop(spark, source, *messages)
         interactions.stream_merge_fact(interactions.stream_stage(stream(spark, source)), target, catalog, str(tmp_path / "state"),
-                                       str(tmp_path / "staging"), clock=lambda: T0 + day).awaitTermination()
+                                       str(tmp_path / "staging")).awaitTermination()
     stored = spark.read.parquet(target).collect()
     assert sorted((r.interaction_id, r.ingestion_timestamp) for r in stored) == [("1", T0 - 30 * day), ("2", T0), ("3", T0 - 9 * day)]
