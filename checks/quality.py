@@ -144,3 +144,16 @@ def _(t: Tables):
     days = t.raw().select(F.to_date("publish_time").alias("day"))
     parts = days.union(days.select(F.date_add("day", 60))).distinct()
     return lifecycle.tier_partitions(parts, F.lit("2024-03-31").cast("date")).withColumn("day", F.col("day").cast("string"))
+
+
+@query("require_columns", "SELECT o_orderkey, o_custkey FROM orders")
+def _(t: Tables):
+    """Orders pass when they have the columns; a missing one is told by name before anything is read."""
+    rows = t.read("orders")
+    quality.require_columns(rows, ["o_orderkey", "o_custkey"])
+    try:
+        quality.require_columns(rows, ["o_orderkey", "no_such", "also_none"])
+    except ValueError as error:
+        assert "also_none" in str(error) and "no_such" in str(error)
+        return rows.select("o_orderkey", "o_custkey")
+    raise AssertionError("missing columns were not found")

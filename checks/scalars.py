@@ -211,7 +211,22 @@ def _(t: Tables):
     return grid.select(F.col("month_start").cast("string").alias("month_start"), "cell", F.col("day").cast("string").alias("day"))
 
 
-@query("enrichment_prompt")
+#: The fixed part of the request: allowed answers and the map, from the tables of fixed values.
+PROMPT_TAIL = "\n".join([
+    "Answer with one JSON object:", "* minutes_ahead: whole number, 15 to 120", "* reason: one short sentence in Spanish",
+    "* mood: one of " + ", ".join(lookups.MOODS), "* occasion_tags: 1 to 3 of " + ", ".join(lookups.OCCASIONS),
+    "* price_band: one of " + ", ".join(lookups.PRICE_BANDS), "* setting: one of " + ", ".join(lookups.SETTINGS),
+    "* time_slot: one of " + ", ".join(lookups.TIME_SLOTS),
+    "* romantic_score, family_score, group_score, tourist_score: whole numbers, 0 to 100", "* duration_minutes: typical length in minutes",
+    "* plan_pairings: 1 to 3 snake_case labels", "* category: one of " + ", ".join(lookups.SUBCATEGORIES),
+    "* subcategory: one listed under the chosen category", "Subcategories by category:",
+    *[f"* {category}: {', '.join(words)}" for category, words in lookups.SUBCATEGORIES.items()]]).replace("'", "''")
+
+
+@query("enrichment_prompt", f"""
+    SELECT id, concat_ws(chr(10), 'Classify this event using only these fields:', '* name: ' || coalesce(name, 'unknown'), '* description: unknown',
+        '* segment: ' || coalesce(segment, 'unknown'), '* genre: ' || coalesce(genre, 'unknown'), '* subgenre: ' || coalesce(subgenre, 'unknown'),
+        '* venue: ' || coalesce(venue_name, 'unknown'), '* time: ' || coalesce(event_time, 'unknown'), '{PROMPT_TAIL}') AS prompt FROM catalog""")
 def _(t: Tables):
     return t.catalog().select("id", lookups.enrichment_prompt(
         F.col("name"), F.lit(None).cast("string"), F.col("segment"), F.col("genre"), F.col("subgenre"),

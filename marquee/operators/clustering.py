@@ -6,21 +6,20 @@ Measures take a frame with one row per user, its feature columns and a `label` c
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.scale import durable
 
 BLOCK_ROWS = 20_000  # rows on each side of one silhouette task
 ROWS_PER_PARTITION = 20_000
+#: Rows of a packed block of the matrix, and rows from which starts are drawn.
+BLOCK, START_ROWS = 256, 10_000
 
 
 def scale_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -222,7 +221,7 @@ def squared_silhouette(df: DataFrame, columns: Sequence[str], label: str = "labe
     return _squared_silhouette(df, columns, [label]).drop("clustering")
 
 
-def measures(df: DataFrame, columns: Sequence[str], labels: Sequence[str], metric: str = "euclidean") -> DataFrame:
+def measures(df: DataFrame, columns: Sequence[str], labels: Sequence[str], metric: str = "squared") -> DataFrame:
     """All four measures of several clusterings, one row per label column."""
     score = _squared_silhouette if metric == "squared" else _silhouette
     result = _inertia(df, columns, labels)
@@ -232,62 +231,143 @@ def measures(df: DataFrame, columns: Sequence[str], labels: Sequence[str], metri
 
 
 # Fitting
+#
+# Centres are a table: k (which model), label and the features.
+
+def _labelled(centres: DataFrame, df: DataFrame, columns: Sequence[str], names: dict[str, int]) -> DataFrame:
+    """Adds a label column for each of several models (name -> k). All centres together are a few rows."""
+    known = centres.agg(F.collect_list(F.struct("k", "label", F.array(*columns).alias("at")))).scalar()
+    point = F.array(*[F.col(name).cast("double") for name in columns])
+
+    def apart(centre: Column) -> Column:
+        gaps = F.zip_with("_point", centre["at"], lambda p, q: (p - q) * (p - q))
+        return F.struct(F.aggregate(gaps, F.lit(0.0), lambda acc, v: acc + v).alias("apart"), centre["label"].alias("label"))
+
+    def nearest(k: int) -> Column:
+        return F.array_min(F.transform(F.filter("_centres", lambda centre: centre["k"] == k), apart))["label"]
+
+    given = df.withColumns({"_centres": known, "_point": point})
+    return given.withColumns({name: nearest(k) for name, k in names.items()}).drop("_centres", "_point")
 
-def assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
 
+def assignments(centres: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds each row's `label`, that of the nearest of the given centres, the smallest one on ties."""
+    return _labelled(centres.withColumn("k", F.lit(0)), df, columns, {"label": 0})
 
-def assignments(model: KMeansModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Adds each row's `label`."""
-    return model.setPredictionCol("label").transform(assemble(df, columns)).drop("features")
+
+def centroids_scaled(centres: DataFrame, k: int, columns: Sequence[str]) -> DataFrame:
+    """The centres of one model in the scaled space, one row per label."""
+    return centres.filter(F.col("k") == k).select("label", *columns)
+
+
+def _first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each further centre is the best of a few rows drawn by their squared distance to those taken so far."""
+    taken = [int(rng.integers(len(sample)))]
+    near = ((sample - sample[taken[0]]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        weights = near / near.sum() if near.sum() > 0 else None
+        drawn = rng.choice(len(sample), size=2 + int(math.log(k)), p=weights)
+        options = [np.minimum(near, ((sample - sample[i]) ** 2).sum(axis=1)) for i in drawn]
+        least = min(range(len(drawn)), key=lambda i: options[i].sum())
+        taken.append(int(drawn[least]))
+        near = options[least]
+    return sample[taken]
+
+
+def _scan(blocks: RDD, models: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+    """One pass for all models: for each its cost, and its centres moved to the mean of the rows nearest to them.
+
+    A task gives one array, with a line for each centre: number, cost and sum of its rows. Arrays are added up in a tree.
+    """
+    width, edges, centres = models[0].shape[1], np.cumsum([0, *[len(m) for m in models]]), np.concatenate(models)
+
+    def run(packed: Iterator[bytes]) -> Iterator[np.ndarray]:
+        total, squares = np.zeros((len(centres), width + 2)), (centres * centres).sum(axis=1)
+        for block in packed:
+            x = np.frombuffer(block).reshape(-1, width)
+            apart = np.maximum(squares - 2 * (x @ centres.T) + (x * x).sum(axis=1)[:, None], 0)
+            own = np.stack([apart[:, a:b].argmin(axis=1) + a for a, b in zip(edges, edges[1:])], axis=1)
+            member = np.zeros(apart.shape)
+            member[np.arange(len(x))[:, None], own] = 1.0
+            total += np.column_stack((member.sum(axis=0), (apart * member).sum(axis=0), member.T @ x))
+        yield total
+
+    found = blocks.mapPartitions(run).treeReduce(np.add)
+    return [(found[a:b, 1].sum(), np.where(found[a:b, :1] > 0, found[a:b, 2:] / np.maximum(found[a:b, :1], 1), model))
+            for model, a, b in zip(models, edges, edges[1:])]
+
+
+def _fit_all(matrix: DataFrame, n: int, columns: Sequence[str], tasks: list[tuple[int, int]], seed: int, max_iter: int, tol: float,
+             rows_per_partition: int) -> dict[int, np.ndarray]:
+    """The best centres for each k: every start of every k moves in the same scans, until its centres stand still."""
+    content = F.xxhash64(*[name for name, kind in matrix.dtypes if "map<" not in kind and "variant" not in kind])
+    dealt = matrix.select(content.alias("_content"), *[F.col(name).cast("double").alias(name) for name in columns])
+    parted = dealt.repartition(math.ceil(n / rows_per_partition), "_content").sortWithinPartitions("_content", *columns).select(*columns)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = np.ascontiguousarray(batch.to_numpy(np.float64))
+            yield pd.DataFrame({"packed": [rows[i: i + BLOCK].tobytes() for i in range(0, len(rows), BLOCK)]})
+
+    first = dealt.orderBy("_content", *columns).limit(START_ROWS).select(*columns)
+    sample = np.concatenate([np.frombuffer(row["packed"]).reshape(-1, len(columns))
+                             for row in first.mapInPandas(pack, "packed binary").collect()])
+    models = [_first_centres(sample, k, np.random.default_rng([seed, k, start])) for k, start in tasks]
+    costs, moving = [math.inf] * len(tasks), list(range(len(tasks)))
+    # Each pass runs the same small program over whole partitions and adds arrays, which no DataFrame operator does.
+    blocks = parted.mapInPandas(pack, "packed binary").rdd.map(lambda row: bytes(row["packed"])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(max_iter):
+            if not moving:
+                break
+            moved = _scan(blocks, [models[m] for m in moving])
+            still = []
+            for place, m in enumerate(moving):
+                costs[m], after = moved[place]
+                if ((after - models[m]) ** 2).sum() > tol:
+                    still.append(m)
+                models[m] = after
+            moving = still
+    finally:
+        blocks.unpersist()
+    best: dict[int, int] = {}
+    for m, (k, _) in enumerate(tasks):
+        if k not in best or costs[m] < costs[best[k]]:
+            best[k] = m
+    return {k: models[m] for k, m in best.items()}
 
 
 def sweep_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 9), seed: int = 42, n_init: int = 20,
-            metric: str = "squared", max_iter: int = 300, parallelism: int = 4, rows_per_partition: int = ROWS_PER_PARTITION
-            ) -> tuple[DataFrame, dict[int, KMeansModel]]:
+            metric: str = "squared", max_iter: int = 300, tol: float = 1e-4, rows_per_partition: int = ROWS_PER_PARTITION
+            ) -> tuple[DataFrame, DataFrame]:
     """Fit K-Means for every k, keeping the best of `n_init` starts, and measure each winner.
 
-    Returns the measures, one row per k, and the models. A k below 2 or not below the number of rows
-    is skipped. `metric="euclidean"` takes the silhouette of all pairs of rows, which is quadratic. The starts of
-    all k are independent jobs and run `parallelism` at a time over one stored matrix. Its rows are dealt out and ordered
-    by a hash of their content, in partitions of about `rows_per_partition`, so that a seed's starts do not depend on the
-    cluster or on how `df` was partitioned.
+    Returns the measures, one row per k, and the winners' centres (k, label and the features). A k below 2 or not below the
+    number of rows is skipped. `metric="euclidean"` takes the silhouette of all pairs of rows, which is quadratic.
+
+    All starts of all k share the scans of the stored matrix: a task adds up, for every centre, the rows nearest to it, and
+    the driver holds nothing but the centres. A model leaves the scans when the sum of its centres' squared moves
+    is at most `tol` times the features' mean variance.
+    Starts are drawn by k-means++ from at most `START_ROWS` rows, the first by a hash of their content; all rows take part in
+    every scan. Neither depends on the cluster or on how `df` was partitioned.
     """
     spark = df.sparkSession
-    matrix = durable(assemble(df, columns))
-    n = matrix.count()
+    matrix = durable(df)
+    n, spread = matrix.agg(F.count("*"), sum((F.var_pop(name) for name in columns[1:]), F.var_pop(columns[0])) / len(columns)).first()
     valid = [k for k in ks if 2 <= k < n]
     if not valid:
         raise ValueError("No valid k to fit.")
-    parts = math.ceil(n / rows_per_partition)
-    content = F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
-    dealt = matrix.select("features", *columns, content.alias("_content")).repartition(parts, "_content")
-    vectors = dealt.sortWithinPartitions("_content", *columns).select("features")
-    vectors = vectors.persist()
-
-    def fit(task: tuple[int, int]) -> tuple[int, float, KMeansModel]:
-        k, start = task
-        model = KMeans(featuresCol="features", k=k, seed=seed + start, maxIter=max_iter, tol=1e-4).fit(vectors)
-        return k, model.summary.trainingCost, model
-
-    best: dict[int, tuple[float, KMeansModel]] = {}
-    try:
-        with ThreadPool(parallelism) as pool:  # one model per k is held, the others are dropped as they come
-            for k, cost, model in pool.imap(inheritable_thread_target(fit), [(k, start) for k in valid for start in range(n_init)]):
-                if k not in best or cost < best[k][0]:
-                    best[k] = (cost, model)
-    finally:
-        vectors.unpersist()
+    best = _fit_all(matrix, n, columns, [(k, start) for k in valid for start in range(n_init)], seed, max_iter, tol * spread, rows_per_partition)
+    rows = [(k, label, *map(float, centre)) for k in valid for label, centre in enumerate(best[k])]
+    centres = spark.createDataFrame(rows, ", ".join(["k int", "label int", *[f"`{name}` double" for name in columns]]))
 
-    labelled, names = matrix, {f"k{k}": k for k in valid}
-    for name, k in names.items():
-        labelled = best[k][1].setPredictionCol(name).transform(labelled)
-    labelled = durable(labelled.select(*columns, *names))
+    names = {f"k{k}": k for k in valid}
+    labelled = durable(_labelled(centres, matrix.select(*columns), columns, names))
     counts = _long(labelled, [], list(names)).groupBy("clustering").agg(F.count_distinct("label").alias("n_clusters"))
     metrics = measures(labelled, columns, list(names), metric).join(counts, "clustering")
     return durable(metrics.select(
         F.substring("clustering", 2, 10).cast("int").alias("k"), "n_clusters", "inertia", "silhouette",
-        "calinski_harabasz", "davies_bouldin")), {k: model for k, (_, model) in best.items()}
+        "calinski_harabasz", "davies_bouldin")), centres
 
 
 def select_k(metrics: DataFrame) -> int:
@@ -304,12 +384,6 @@ def canonical_labels(df: DataFrame, columns: Sequence[str], label: str = "label"
     return df.withColumn("_lookup", lookup).withColumn(label, F.try_element_at("_lookup", F.col(label))).drop("_lookup")
 
 
-def centroids_scaled(model: KMeansModel, spark: SparkSession, columns: Sequence[str]) -> DataFrame:
-    """Centres in the scaled space, one row per label."""
-    rows = [(label, *map(float, centre)) for label, centre in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, ", ".join(["label int", *[f"`{name}` double" for name in columns]]))
-
-
 # Descriptions
 
 def cluster_profiles(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from marquee.operators import clustering, features
 from marquee.scale import durable
@@ -35,9 +34,10 @@ def segment_users(interactions: DataFrame, ks: Sequence[int] = range(2, 9), seed
         raise ValueError("No interaction is complete: check that the catalogue has prices and dates.")
     columns = features.feature_columns(users)
     scaled = durable(clustering.scale_features(users, columns))
-    metrics, models = clustering.sweep_k(scaled, columns, ks, seed, n_init, metric)
+    metrics, centres = clustering.sweep_k(scaled, columns, ks, seed, n_init, metric)
     best_k = clustering.select_k(metrics)
-    labels = clustering.assignments(models[best_k], scaled, columns).select("user_id", F.col("label").cast("int"))
+    chosen = clustering.centroids_scaled(centres, best_k, columns)
+    labels = clustering.assignments(chosen, scaled, columns).select("user_id", "label")
     labelled = durable(users.join(labels, "user_id"))
 
     sizes = clustering.cluster_sizes(labelled)
@@ -54,7 +54,7 @@ def segment_users(interactions: DataFrame, ks: Sequence[int] = range(2, 9), seed
         "kmeans_assignments": labels.orderBy("user_id"),
         "kmeans_cluster_profiles": clustering.cluster_profiles(labelled, columns).orderBy("label"),
         "kmeans_cluster_sizes": sizes.orderBy("label"),
-        "kmeans_cluster_centroids_scaled": clustering.centroids_scaled(models[best_k], spark, columns),
+        "kmeans_cluster_centroids_scaled": chosen.orderBy("label"),
         "kmeans_cluster_top_traits": traits.orderBy("label", "direction", "rank"),
     }
     return Segmentation(tables, best_k, summary.first()["text"])

@@ -26,20 +26,19 @@ def test_scaling_of_a_constant_column(spark):
 
 
 def test_sweep_finds_the_blobs(spark, blobs):
-    metrics, models = clustering.sweep_k(blobs, ["a", "b"], ks=[1, 2, 3, 4, 36, 99], n_init=4)
+    metrics, centres = clustering.sweep_k(blobs, ["a", "b"], ks=[1, 2, 3, 4, 36, 99], n_init=4)
     rows = metrics.orderBy("k").collect()
     assert [r.k for r in rows] == [2, 3, 4] and [r.n_clusters for r in rows] == [2, 3, 4]
     assert clustering.select_k(metrics) == 3 and rows[1].silhouette > 0.7
     assert rows[0].inertia > rows[1].inertia > rows[2].inertia
-    labels = clustering.assignments(models[3], blobs, ["a", "b"])
+    labels = clustering.assignments(clustering.centroids_scaled(centres, 3, ["a", "b"]), blobs, ["a", "b"])
     assert labels.columns == ["user_id", "a", "b", "label"]
     assert clustering.inertia(labels, ["a", "b"]).first()[0] == pytest.approx(rows[1].inertia)
     groups = labels.groupBy(F.split_part("user_id", F.lit("-"), F.lit(1))).agg(F.count_distinct("label")).collect()
     assert all(r[1] == 1 for r in groups)
     squared, _ = clustering.sweep_k(blobs, ["a", "b"], ks=[2, 3], n_init=2, metric="squared")
     assert clustering.select_k(squared) == 3
-    centres = clustering.centroids_scaled(models[3], spark, ["a", "b"]).collect()
-    assert sorted(round(c.a / 10) for c in centres) == [0, 1, 2]
+    assert sorted(round(c.a / 10) for c in clustering.centroids_scaled(centres, 3, ["a", "b"]).collect()) == [0, 1, 2]
     with pytest.raises(ValueError):
         clustering.sweep_k(blobs, ["a", "b"], ks=[1])
 
@@ -47,11 +46,34 @@ def test_sweep_finds_the_blobs(spark, blobs):
 def test_starts_do_not_depend_on_partitions(spark, blobs):
     found = []
     for df in (blobs.coalesce(1), blobs.orderBy(F.desc("b")).repartition(5), blobs.repartition(11, "a")):
-        _, models = clustering.sweep_k(df, ["a", "b"], ks=[5, 7], n_init=1, rows_per_partition=9)
-        found.append(sorted(tuple(round(float(x), 9) for x in c) for model in models.values() for c in model.clusterCenters()))
+        _, centres = clustering.sweep_k(df, ["a", "b"], ks=[5, 7], n_init=1, rows_per_partition=9)
+        found.append(sorted((c.k, round(c.a, 9), round(c.b, 9)) for c in centres.collect()))
     assert found[0] == found[1] == found[2]
 
 
+def test_shared_scans_are_as_good_as_separate_fits(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = random.Random(9)
+    rows = [(i, *[rng.gauss(i % 6 * 4 * (j == i % 3), 1.5) for j in range(4)]) for i in range(600)]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "user_id int, a double, b double, c double, d double")
+    metrics, _ = clustering.sweep_k(df, names, ks=[2, 4, 6], n_init=20)
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(df).cache()
+    for row in metrics.collect():
+        separate = min(KMeans(k=row.k, seed=s, maxIter=300).fit(vectors).summary.trainingCost for s in range(8))
+        assert row.inertia <= separate * 1.01
+
+
+def test_equal_and_empty_rows_can_be_fitted(spark):
+    same = spark.createDataFrame([(i, 1.0, 2.0) for i in range(5)], "user_id int, a double, b double")
+    metrics, centres = clustering.sweep_k(same, ["a", "b"], ks=[2], n_init=2)
+    assert metrics.first().inertia == 0 and centres.count() == 2
+    with pytest.raises(ValueError):
+        clustering.sweep_k(same.limit(0), ["a", "b"])
+
+
 def test_registered_sweep_runs_the_defaults(monkeypatch):
     real, seen = inspect.signature(clustering.sweep_k), []
     monkeypatch.setattr(clusters, "durable", lambda df: df)

@@ -21,8 +21,7 @@ def test_same_rows_as_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
 
 
-# The sweep's queries fit models; the sweep itself is tested in test_clustering.py.
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"select_k", "assignments", "centroids_scaled", "report"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF_DIR).limit(1).count() == 1
 
