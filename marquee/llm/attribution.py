@@ -28,9 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.bpe import codec, vocabulary_path
+from marquee.llm.common import through_python
+
 RULES = ("first", "most", "split")
 #: Characters that are encoded in one go.
 PIECE = 4_000_000
+#: White space of this length overflows the library's stack; such texts take the coder of `bpe`, which has the same vocabulary.
+LONG_RUN = re.compile(r"\s{100000}")
 
 
 def rank_file(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -56,7 +61,10 @@ def _encoding(path: str):
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, start, end) of the tokens of a text, in characters."""
     encoding, lengths = _encoding(path)
-    ids = np.array(encoding.encode_ordinary(text), np.int64)
+    if LONG_RUN.search(text):
+        ids = codec(vocabulary_path()).encode_batch([text])[0].astype(np.int64)
+    else:
+        ids = np.array(encoding.encode_ordinary(text), np.int64)
     ends = np.cumsum(lengths[ids])
     starts = ends - lengths[ids]
     if text.isascii():
@@ -138,6 +146,4 @@ def section_tokens(docs: DataFrame, rule: str = "first", sections: Callable[[str
             out[name] = out[name].astype("Int64")
         return out.assign(id=pd.Series(ids, dtype=object))[["id", *columns]]
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, section bigint, start bigint, end bigint, n_tokens double, doc_tokens bigint"
-                            ).withColumnRenamed("id", id_col)
+    return through_python(rows, run, "section bigint, start bigint, end bigint, n_tokens double, doc_tokens bigint", name=id_col)

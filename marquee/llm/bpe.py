@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.common import through_python
+
 #: Words of up to this many bytes are rows of a matrix; wider ones use a heap.
 SHORT = 32
 WIDTHS = (4, 8, 12, 16, 24, SHORT)
@@ -229,7 +231,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             for part in _pieces(batch, "text"):
                 yield pd.DataFrame({"id": part["id"], "ids": [x.astype(np.int32) for x in codec(path).encode_batch(part["text"])]})
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return through_python(rows, run, "ids array<int>", name=id_col)
 
 
 def decode(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -241,7 +243,7 @@ def decode(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", id
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "text": [None if x is None else codec(path).decode(x) for x in batch["ids"]]})
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return through_python(rows, run, "text string", name=id_col)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +265,6 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=part.index).assign(id=part["id"])[
                     ["id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return through_python(rows, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", name=id_col)
 
 

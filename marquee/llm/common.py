@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import gc
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.scale import durable
 
-__all__ = ["SPACE", "WORD", "durable", "fresh", "plain_text", "release", "table", "words_in"]
+__all__ = ["SPACE", "WORD", "durable", "fresh", "ids_as_text", "plain_text", "release", "table", "through_python", "words_in"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +36,19 @@ def plain_text(column: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), SPACE, " ")
 
 
+def ids_as_text(df: DataFrame, column: str = "id") -> DataFrame:
+    """Whole-number ids as text for Python: beside nulls, pandas would turn them into floats and change those above 2^53."""
+    whole = dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint")
+    return df.withColumn(column, F.col(column).cast("string")) if whole else df
+
+
+def through_python(df: DataFrame, run: Callable, columns: str, column: str = "id", name: str | None = None) -> DataFrame:
+    """`mapInPandas` of rows with an id, which comes out as it went in; `columns` are the others, `name` its new name."""
+    kind, told = dict(df.dtypes)[column], ids_as_text(df, column)
+    made = told.mapInPandas(run, f"{column} {dict(told.dtypes)[column]}, {columns}").withColumn(column, F.col(column).cast(kind))
+    return made.withColumnRenamed(column, name or column)
+
+
 def words_in(column: Column | str) -> Column:
     """Number of words of a text; null has none."""
     value = F.col(column) if isinstance(column, str) else column

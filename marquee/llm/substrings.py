@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import durable, release
+from marquee.llm.common import durable, release, through_python
 from marquee.llm.shingles import _table, mixed
 
 LENGTH, GRAM = 100, 32
@@ -311,6 +311,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((i, len(raw), removed, n, b"".join(kept)))
             yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = rows.schema["id"].dataType.simpleString()
     joined = rows.join(spans, ["doc", "print"], "left").select("id", "text", "spans")
-    return joined.mapInPandas(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
+    return through_python(joined, run, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", name=id_col)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import durable
+from marquee.llm.common import durable, through_python
 
 #: Documents of each class in the fitted sample.
 SAMPLE = 2500
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "score": [scorer.score(text) for text in batch["text"]]})
 
-    scored = rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    scored = through_python(rows, run, "score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -209,8 +209,7 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "
                         out.append((i, found.start(), found.group(), p))
             yield pd.DataFrame(out, columns=["id", "start", "sentence", "score"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, start int, sentence string, score double").withColumnRenamed("id", id_col)
+    return through_python(rows, run, "start int, sentence string, score double", name=id_col)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,9 +217,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = train(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            yield batch[np.array([scorer.score(text) < 0.5 for text in batch[text_col]], bool)]
+        for batch in texts:
+            yield pd.Series([scorer.score(text) for text in batch], dtype=float)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.filter(scores(F.col(text_col)) < 0.5)
