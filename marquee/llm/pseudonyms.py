@@ -143,22 +143,18 @@ def _date(value: Column) -> Column:
 
 
 def _date_moved(value: Column, key: str) -> Column:
-    """Another date in the same form. Where only the day can come first, days are permuted again until that is so."""
-    order = _date_order(value)
-    only_day_first = (order == "dmy") & ~value.contains(".")
-
-    def moved(day: Column) -> Column:
-        state = _permuted(key, F.lit("date"), day % DAYS[0], F.floor(day / DAYS[0]), F.lit(DAYS[0]), F.lit(DAYS[1]))
-        return F.aggregate(F.array(state), F.lit(0), lambda _, s: (s["b"] * DAYS[0] + s["a"]).cast("int"))
+    """Another date in the same form. Equal days give equal days, whatever their forms: the day is permuted, then written.
 
-    def again(day: Column) -> Column:
-        return only_day_first & (F.dayofmonth(F.date_add(F.lit(FIRST_DAY).cast("date"), day)) <= 12)
-
-    start = F.datediff(_date(value), F.lit(FIRST_DAY).cast("date"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(80)), moved(start), lambda day, _: F.when(again(day), moved(day)).otherwise(day))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), F.when(only_day_first, walked).otherwise(moved(start)))
+    Between slashes or hyphens, a day up to 12 in front would be read as a month, so such a day is written behind its month.
+    """
+    order = _date_order(value)
+    day = F.datediff(_date(value), F.lit(FIRST_DAY).cast("date"))
+    state = _permuted(key, F.lit("date"), day % DAYS[0], F.floor(day / DAYS[0]), F.lit(DAYS[0]), F.lit(DAYS[1]))
+    new = F.aggregate(F.array(state), F.lit(FIRST_DAY).cast("date"),
+                      lambda _, s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["b"] * DAYS[0] + s["a"]).cast("int")))
+    order = F.when((order == "dmy") & ~value.contains(".") & (F.dayofmonth(new) <= 12), "mdy").otherwise(order)
     y, m, d = (F.date_format(new, x) for x in ("yyyy", "MM", "dd"))
-    mark = F.when(order == "ymd", F.substring(value, 5, 1)).otherwise(F.substring(value, 3, 1))
+    mark = F.when(value.rlike(r"^\d{4}"), F.substring(value, 5, 1)).otherwise(F.substring(value, 3, 1))
     return (F.when(order == "ymd", F.concat(y, mark, m, mark, d)).when(order == "mdy", F.concat(m, mark, d, mark, y))
             .otherwise(F.concat(d, mark, m, mark, y)))
 
