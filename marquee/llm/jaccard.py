@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import durable
+from marquee.llm.common import durable, fresh, through_python
 from marquee.llm.components import components
 from marquee.llm.shingles import mixed, shingle_sets
 from marquee.scale import top_per_key
@@ -100,7 +100,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 frame = pd.DataFrame(out, columns=["node", "n", "tokens"], index=part.index, dtype=object)  # else nodes become floats
                 yield frame.assign(id=part["id"], node=frame["node"].astype("Int64"), n=frame["n"].astype("int64"))[["id", "node", "n", "tokens"]]
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, node bigint, n bigint, tokens binary")
+    return through_python(rows, run, "node bigint, n bigint, tokens binary")
 
 
 def _sets(docs: DataFrame, text_col: str, sieve: bytes) -> DataFrame:
@@ -502,6 +502,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of `docs` without those whose component has one with a smaller id."""
-    lost = durable(near_groups(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    return docs.join(lost, id_col, "left_anti").select(*docs.columns)
+    """One row of each component, with all its columns: the least by id (none last), then by the number that it is given here.
+
+    Rows are stored once and told apart by that number, so it does not matter whether ids are missing or shared.
+    """
+    row = fresh(docs, "row")
+    stored = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = durable(near_groups(stored, row, text_col).select(row, F.col("component_id").alias("_component")))
+    # Only rows of components of several rows can go; near all others skip the sort.
+    several = groups.groupBy("_component").agg(F.count("*").alias("_n")).filter("_n > 1").select("_component")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row))
+    met = groups.join(several, "_component").join(stored.select(row, id_col), row).select("_component", row, order.alias("_order"))
+    first = met.groupBy("_component").agg(F.min("_order").alias("_first"))
+    lost = met.join(first, "_component").filter(F.col("_order") > F.col("_first")).select(row)
+    return stored.join(lost, row, "left_anti").select(*docs.columns)
