@@ -15,7 +15,8 @@ vector of one list. Lists and queries of a list are split into parts of at most
 
 Defined results: nearness is the cosine in double precision on the original vectors, ties go to smaller ids. Vectors
 that are null, zero, hold null or non-finite components, or lack an id take no part; nor do those of another length
-than most (of equally frequent lengths the smaller one counts). A query gets fewer than k rows only where there are
+than most (of equally frequent lengths the smaller one counts). Parallel vectors are as near as their cosine in doubles
+tells: where it is equal, smaller ids come first. A query gets fewer than k rows only where there are
 fewer candidates. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -43,6 +44,8 @@ NEAR, COPIES = 0.08, 4
 OPEN = 0.25
 TARGET, PROBES = 0.98, 256
 PART = 2048
+#: A query's lists are searched nearest first, in rounds that end behind so many of them; the last has all others.
+ROUNDS = (8, 64)
 
 
 def usable(vector: Column) -> Column:
@@ -146,7 +149,7 @@ def _fit(vectors: DataFrame, n: int, length: int) -> Graph:
 
 
 def _lists_of(vectors: DataFrame, graph: Graph, chosen, all_chosen: bool = False) -> DataFrame:
-    """`vectors` with one row for each list that chosen(graph, ids, distances) tells.
+    """`vectors` with one row for each list that chosen(graph, ids, distances) tells, and the round of its search.
 
     With `all_chosen`, vectors for which all that the beam holds is chosen are compared with all centroids.
     """
@@ -161,15 +164,15 @@ def _lists_of(vectors: DataFrame, graph: Graph, chosen, all_chosen: bool = False
                 taken = chosen(shared.value, ids, distance) & (ids >= 0)
                 more = taken.all(axis=1) & all_chosen & (ids.shape[1] < len(shared.value.centroids))
                 at, rank = np.nonzero(taken & ~more[:, None])
-                yield part.iloc[at].assign(list=ids[at, rank])
+                yield part.iloc[at].assign(list=ids[at, rank], turn=np.searchsorted(ROUNDS, rank, side="right"))
                 if more.any():
                     ids, distance = shared.value.scan(points[more])
                     at, rank = np.nonzero(chosen(shared.value, ids, distance))
                     for b in range(0, len(at), 16 * PART):  # a vector may have thousands of lists
                         i, j = at[b: b + 16 * PART], rank[b: b + 16 * PART]
-                        yield part.iloc[np.flatnonzero(more)[i]].assign(list=ids[i, j])
+                        yield part.iloc[np.flatnonzero(more)[i]].assign(list=ids[i, j], turn=np.searchsorted(ROUNDS, j, side="right"))
 
-    schema = vectors.select("*", F.lit(0).alias("list")).schema
+    schema = vectors.select("*", F.lit(0).alias("list"), F.lit(0).alias("turn")).schema
     return vectors.mapInPandas(run, schema)
 
 
@@ -215,6 +218,44 @@ def _needed_ratio(vectors: DataFrame, asking: DataFrame, posted: DataFrame, grap
     return max(1 + OPEN, ratios[int(np.ceil(TARGET * len(ratios))) - 1] * (1 + 1e-9))
 
 
+def _searched(asked: DataFrame, posted: DataFrame, best: DataFrame, k: int, kind: str) -> DataFrame:
+    """`best` (asks, score, other), the k + 1 best so far of each query, after a search of the lists that `asked` names.
+
+    What a query has so far is its bound: of a list, only vectors at least as near as its k + 1st best are sent on.
+    """
+    floors = best.groupBy("asks").agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
+    bounded = asked.join(floors, asked["node"] == floors["asks"], "left").select("list", "node", "vector", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+    loads = durable(asked.groupBy("list").agg((F.floor(F.count("*") / PART) + 1).alias("chunks")).join(
+        posted.groupBy("list").agg((F.floor(F.count("*") / PART) + 1).alias("parts")), "list"))
+    part, chunk = F.pmod(F.xxhash64("node"), F.col("parts")), F.pmod(F.xxhash64("node"), F.col("chunks"))
+    left = bounded.join(loads, "list").withColumn("chunk", chunk).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    right = posted.join(loads, "list").withColumn("part", part).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+
+    def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(v):
+            ours, theirs = (np.stack(x["vector"].to_numpy()).astype(np.float64) for x in (q, v))
+            norms, firsts = np.sqrt((theirs * theirs).sum(axis=1)), np.array([ids[0] for ids in v["ids"]])
+            close = unit(ours) @ unit(theirs).T
+            most = min(len(v), k + 1)
+            # All about as near as the last one that counts, however many: exact scores and ids decide among them.
+            cut = np.maximum(-np.partition(-close, most - 1, axis=1)[:, most - 1], q["floor"].to_numpy()) - 1e-9
+            for i, (node, x, floor) in enumerate(zip(q["node"], ours, q["floor"])):
+                at = np.flatnonzero(close[i] >= cut[i])
+                score = (theirs[at] * x).sum(axis=1) / (norms[at] * np.sqrt((x * x).sum()))
+                for j in np.lexsort((firsts[at], -score))[: k + 1]:
+                    if score[j] >= floor:
+                        out.append((node, v["node"].iat[at[j]], score[j], v["ids"].iat[at[j]]))
+        return pd.DataFrame(out, columns=["asks", "node", "score", "ids"])
+
+    keys = ["list", "part", "chunk"]
+    found = left.select(*keys, "node", "vector", "floor").groupBy(*keys).cogroup(right.select(*keys, "node", "vector", "ids").groupBy(*keys)).applyInPandas(
+        search, f"asks bigint, node bigint, score double, ids array<{kind}>")
+    # A vector of several lists is found several times; equal vectors have several ids.
+    rows = found.select("asks", "score", F.explode("ids").alias("other")).unionByName(best).distinct()
+    return top_per_key(rows, ["asks"], [F.desc("score"), F.col("other")], k + 1)
+
+
 def nearest(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id, score: the k nearest found of every row for which `queries` is true."""
     plain = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")
@@ -244,32 +285,9 @@ def nearest(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id"
         return (distance <= ratio * distance[:, :1]) | (np.cumsum(there, axis=1) - there < 8 * (k + 1))
 
     asked = durable(_lists_of(vectors.join(asking.select("node").distinct(), "node", "left_semi").select("node", "vector"), graph, opened, True))
-    loads = durable(asked.groupBy("list").agg((F.floor(F.count("*") / PART) + 1).alias("chunks")).join(
-        posted.groupBy("list").agg((F.floor(F.count("*") / PART) + 1).alias("parts")), "list"))
-    part, chunk = F.pmod(F.xxhash64("node"), F.col("parts")), F.pmod(F.xxhash64("node"), F.col("chunks"))
-    left = asked.join(loads, "list").withColumn("chunk", chunk).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    right = posted.join(loads, "list").withColumn("part", part).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-
-    def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(v):
-            ours, theirs = (np.stack(x["vector"].to_numpy()).astype(np.float64) for x in (q, v))
-            norms = np.sqrt((theirs * theirs).sum(axis=1))
-            close = unit(ours) @ unit(theirs).T
-            most = min(len(v), 4 * (k + 1))
-            for i, (node, x) in enumerate(zip(q["node"], ours)):
-                at = np.argpartition(-close[i], most - 1)[:most]
-                score = (theirs[at] * x).sum(axis=1) / (norms[at] * np.sqrt((x * x).sum()))
-                for j in np.argsort(-score, kind="stable")[: 2 * (k + 1)]:
-                    out.append((node, v["node"].iat[at[j]], score[j], v["ids"].iat[at[j]]))
-        return pd.DataFrame(out, columns=["asks", "node", "score", "ids"])
-
-    keys = ["list", "part", "chunk"]
-    found = left.select(*keys, "node", "vector").groupBy(*keys).cogroup(right.select(*keys, "node", "vector", "ids").groupBy(*keys)).applyInPandas(
-        search, f"asks bigint, node bigint, score double, ids array<{kind}>")
-    once = found.groupBy("asks", "node").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    best = durable(top_per_key(once.select("asks", "score", F.explode("ids").alias("other")), ["asks"],
-                               [F.desc("score"), F.col("other")], k + 1))
+    best = spark.createDataFrame([], f"asks bigint, score double, other {kind}")
+    for turn in range(len(ROUNDS) + 1):
+        best = durable(_searched(asked.filter(F.col("turn") == turn), posted, best, k, kind))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "other")
     return (asking.distinct().select(F.col("id").alias("query_id"), F.col("node").alias("asks")).join(best, "asks")
             .filter("query_id <> other").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
