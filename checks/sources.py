@@ -33,6 +33,25 @@ def _(t: Tables):
     return events.select("id", "segment", "city")
 
 
+@query("tag_pages", """
+    SELECT 'event' AS tag, id AS said FROM catalog
+    UNION ALL SELECT CASE CAST(id AS BIGINT) % 5 WHEN 0 THEN 'no_json' WHEN 1 THEN 'no_object' WHEN 2 THEN 'no_list' WHEN 3 THEN 'empty_page'
+        ELSE 'no_event' END, id FROM catalog""")
+def _(t: Tables):
+    """A page for each event, and a line for each that has another shape; landed by tag in one parse and read back."""
+    path = scratch(t.spark)
+    key = F.col("id").cast("bigint") % 5
+    pages = raw_events(t).select(F.to_json(F.struct(F.struct(F.array(F.struct("*")).alias("events")).alias("_embedded"))).alias("value"))
+    odd = t.catalog().select(F.when(key == 0, F.concat(F.lit('{"oops": '), "id")).when(key == 1, F.concat(F.lit('["'), "id", F.lit('"]')))
+                             .when(key == 2, F.concat(F.lit('{"_embedded": {"events": {"id": "'), "id", F.lit('"}}}')))
+                             .when(key == 3, F.concat(F.lit('{"page": "'), "id", F.lit('"}')))
+                             .otherwise(F.concat(F.lit('{"_embedded": {"events": ["'), "id", F.lit('"]}}'))).alias("value"))
+    pages.unionByName(odd).write.text(f"{path}/pages")
+    landed = sinks.land_tagged(readers.tag_pages(t.spark, f"{path}/pages"), f"{path}/raw", RUN)
+    said = F.when(F.col("tag") == readers.EVENT, F.get_json_object("value", "$.id")).otherwise(F.regexp_extract("value", "([0-9]+)", 1))
+    return landed.select("tag", said.alias("said"))
+
+
 @query("event_window", """
     SELECT id, city FROM catalog WHERE starts_at BETWEEN TIMESTAMP '2024-02-10' AND TIMESTAMP '2024-02-22' AND city = 'NATION_4'""")
 def _(t: Tables):

@@ -45,9 +45,9 @@ def run_catalogue_batch(spark: SparkSession, pages: str, raw_path: str, dead_let
                         semantic_cache: DataFrame, semantic_answers: Callable[[DataFrame], DataFrame],
                         forecast: DataFrame, now: dt.datetime, store: CatalogueStore | None = None) -> CatalogueRun:
     """`now` stamps the run and decides which cached venues are still good. With a `store`, the run is saved there."""
-    sinks.land_documents(readers.read_page_documents(spark, pages), raw_path, now)
-    good, bad = catalog.split_valid(readers.read_event_pages(spark, pages), catalog.raw_event_rules())
-    rejected = bad.unionByName(readers.malformed_pages(spark, pages), allowMissingColumns=True)
+    tagged = sinks.land_tagged(readers.tag_pages(spark, pages), raw_path, now)
+    good, bad = catalog.split_valid(readers.typed_events(tagged), catalog.raw_event_rules())
+    rejected = bad.unionByName(readers.rejected_lines(tagged), allowMissingColumns=True)
     sinks.write_dead_letters(rejected, dead_letter_path, now)
 
     events = catalog.drop_test_events(catalog.flatten_event(good))

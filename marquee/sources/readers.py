@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions.instants import parse_instant
@@ -16,26 +16,68 @@ from marquee.schemas import FACT, RAW_EVENT, RAW_PAGE, SAVED_EVENTS, USERS, with
 def read_event_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed API pages (one JSON document per line) -> one row per event. Empty pages give no rows.
 
-    Of a line that is no JSON nothing is read; `malformed_pages` gives those lines.
+    The fastest way to the events alone. Lines of another shape are left out here; `malformed_pages` gives those, and
+    `tag_pages` everything in one parse.
     """
     pages = spark.read.schema(RAW_PAGE).json(path)
     return pages.select(F.explode("_embedded.events").alias("event")).select("event.*")
 
 
-def _page_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).filter("trim(value) <> ''").withColumn("page", F.try_parse_json("value"))
+#: Tags of landed lines and what is wrong with the rejected ones.
+EVENT, EMPTY = "event", "empty_page"
+REJECTED = {
+    "no_json": "page is not JSON", "no_object": "page is not an object", "no_embedding": "page embeds no object",
+    "no_list": "events of the page are no list", "no_event": "event is not an object",
+}
+
+
+def tag_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(tag, value): every line of landed pages in exactly one form, parsed once.
+
+    A page gives its events, each as JSON text with all of its fields, tagged `event`; what is no object among them, or a page
+    that has not the shape of one, is tagged by what is wrong (`REJECTED`) and keeps its text; a page without events is
+    `empty_page`. Blank lines count as nothing.
+    """
+    lines = spark.read.text(path).filter("trim(value) <> ''").withColumn("page", F.try_parse_json("value"))
+
+    def part(name: str, kind: str) -> Column:
+        return F.expr(f"try_variant_get(page, '{name}', '{kind}')")
+
+    def missing(name: str) -> Column:
+        inner = part(name, "variant")
+        return inner.isNull() | F.is_variant_null(inner)
+
+    events = part("$._embedded.events", "array<variant>")
+    wrong = (F.when(F.col("page").isNull(), "no_json").when(part("$", "map<string,variant>").isNull(), "no_object")
+             .when(~missing("$._embedded") & part("$._embedded", "map<string,variant>").isNull(), "no_embedding")
+             .when(~missing("$._embedded.events") & events.isNull(), "no_list")
+             .when(F.coalesce(F.size(events), F.lit(0)) <= 0, EMPTY))
+    one = F.array(F.struct(F.col("wrong").alias("tag"), F.col("value")))
+    each = F.expr(f"""transform(try_variant_get(page, '$._embedded.events', 'array<variant>'), e -> struct(
+        IF(try_variant_get(e, '$', 'map<string,variant>') IS NULL, 'no_event', '{EVENT}') AS tag, coalesce(to_json(e), 'null') AS value))""")
+    tagged = lines.withColumn("wrong", wrong)
+    return tagged.select(F.explode(F.when(F.col("wrong").isNotNull(), one).otherwise(each)).alias("line")).select("line.*")
+
+
+def typed_events(tagged: DataFrame) -> DataFrame:
+    """The events among tagged lines, with the fields that are read."""
+    return tagged.filter(F.col("tag") == EVENT).select(F.from_json("value", RAW_EVENT).alias("event")).select("event.*")
+
+
+def rejected_lines(tagged: DataFrame) -> DataFrame:
+    """Rejected lines of landed pages: id (NULL), error, page (the text)."""
+    error = F.element_at(F.create_map(*[F.lit(x) for pair in REJECTED.items() for x in pair]), F.col("tag"))
+    return tagged.filter(F.col("tag").isin(*REJECTED)).select(F.lit(None).cast("string").alias("id"), error.alias("error"), F.col("value").alias("page"))
 
 
 def read_page_documents(spark: SparkSession, path: str) -> DataFrame:
     """The event documents of landed pages as JSON text, with every field they have."""
-    events = F.expr("try_variant_get(page, '$._embedded.events', 'array<variant>')")
-    return _page_lines(spark, path).select(F.explode(events).alias("event")).select(F.to_json("event").alias("value"))
+    return tag_pages(spark, path).filter(F.col("tag") == EVENT).select("value")
 
 
 def malformed_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of landed pages that are no JSON, as rejected rows: id (NULL), error, page."""
-    return _page_lines(spark, path).filter("page IS NULL").select(
-        F.lit(None).cast("string").alias("id"), F.lit("page is not JSON").alias("error"), F.col("value").alias("page"))
+    """Lines of landed pages that are no pages, and events that are no objects, as rejected rows: id (NULL), error, page."""
+    return rejected_lines(tag_pages(spark, path))
 
 
 def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
@@ -75,9 +117,12 @@ def type_interactions(raw: DataFrame) -> DataFrame:
     return raw.select(*[column(field) for field in FACT.fields])
 
 
-def read_interactions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Interaction CSV as text columns. Fails with the sorted names of missing columns."""
-    raw = with_english_names(spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path))
+def read_interactions_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Interaction CSV as text columns. Fails with the sorted names of missing columns.
+
+    `multi_line` is for values that hold line ends; it makes every file one task, so large files need it off.
+    """
+    raw = with_english_names(spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path))
     require_columns(raw, FACT.fieldNames())
     return raw.select(*FACT.fieldNames())
 

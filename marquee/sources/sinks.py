@@ -32,6 +32,13 @@ def land_documents(documents: DataFrame, path: str, run_ts: dt.datetime) -> None
     documents.select("value").write.mode("overwrite").text(_run_folder(path, run_ts))
 
 
+def land_tagged(tagged: DataFrame, path: str, run_ts: dt.datetime) -> DataFrame:
+    """Tagged lines of one run as text, a folder for each tag, and read back from there: nothing is parsed twice."""
+    folder = _run_folder(path, run_ts)
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("tag").text(folder)
+    return tagged.sparkSession.read.schema("value string, tag string").text(folder)
+
+
 def write_dead_letters(bad: DataFrame, path: str, run_ts: dt.datetime) -> None:
     """Rejected rows as JSON lines {id, error, timestamp, raw}."""
     raw = F.struct(*[F.col(name) for name in bad.columns if name != "error"])
