@@ -419,12 +419,40 @@ def pairs_in_cell(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return a[ok], b[ok]
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """u, v, block: all pairs of different components that meet in lists often enough for a link to be possible.
+def links_in_cell(cell: pd.DataFrame) -> tuple[list[int], list[int]]:
+    """Places of pairs that are linked, as few as join what the cell's links join: a pair that is joined already is skipped."""
+    a, b = pairs_in_cell(cell)
+    sets = [np.frombuffer(packed, np.uint64) for packed in cell["whole"]]
+    _, own = np.unique(cell["label"].to_numpy(), return_inverse=True)
+    above = list(range(int(own.max()) + 1))
+    found: tuple[list[int], list[int]] = ([], [])
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for u, v in zip(a.tolist(), b.tolist()):
+        x, y = top(own[u]), top(own[v])
+        if x == y:
+            continue
+        few, many = sorted((sets[u], sets[v]), key=len)
+        at = np.searchsorted(many, few)
+        at[at == len(many)] = 0
+        if int((many[at] == few).sum()) >= needed(len(few), len(many)):
+            above[x] = y
+            found[0].append(u)
+            found[1].append(v)
+    return found
+
+
+def _open_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """u, v: links that join all components that any links between them join.
 
     Lists with the same smallest node share a home, and near copies have few homes. A home's nodes of neighbouring
-    sizes are dealt to parts, and every two parts are a cell: a node is sent with all its lists to the cells of its
-    homes, which count in memory, instead of as one row for each list and partner.
+    sizes are dealt to parts, and every two parts are a cell: a node is sent with all its lists and its whole set to the
+    cells of its homes. A cell counts lists and checks sets in memory, and sends a forest of links, fewer than its nodes.
     """
     nodes = durable(rows.groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("n", "label", "last")], F.collect_list("token").alias("tokens"), F.collect_set("home").alias("homes")))
@@ -434,8 +462,8 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
     sizes = durable(at.groupBy("home", "step").agg(
         F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("own").alias("least"))
         .filter("lo <> hi and least = step").select("home", "step", (F.floor(F.col("held") / PER_BLOCK) + 1).alias("parts")))
-    placed = at.join(sizes, ["home", "step"]).select(
-        "node", "home", "step", (F.col("own") == F.col("step")).alias("low"), "parts", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    placed = durable(at.join(sizes, ["home", "step"]).select(
+        "node", "home", "step", (F.col("own") == F.col("step")).alias("low"), "parts", F.pmod(F.xxhash64("node"), "parts").alias("part")))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select(
         "node", "home", "step", "low", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     key = ["home", "step", "i", "j"]
@@ -454,19 +482,17 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
             yield found([pd.concat(rest, ignore_index=True)])
 
     def found(ready: list[pd.DataFrame]) -> pd.DataFrame:
-        out = [pd.DataFrame({c: pd.Series(dtype="int64") for c in ("u", "v", *key)})]
+        out = [pd.DataFrame({c: pd.Series(dtype="int64") for c in ("u", "v")})]
         for cell in ready:
             if len(cell) > 1:
-                a, b = pairs_in_cell(cell)
-                if len(a):
-                    u, v = (cell["node"].to_numpy()[x] for x in (a, b))
-                    out.append(pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), **{c: cell[c].iat[0] for c in key}}))
+                nodes = cell["node"].to_numpy()
+                u, v = (nodes[np.array(x, np.int64)] for x in links_in_cell(cell))
+                out.append(pd.DataFrame({"u": u, "v": v}))
         return pd.concat(out, ignore_index=True)
 
-    sent = cells.join(nodes.select("node", "n", "label", "last", "tokens"), "node").repartition(*key).sortWithinPartitions(*key)
-    pairs = sent.mapInPandas(run, "u bigint, v bigint, home bigint, step bigint, i bigint, j bigint")
-    first = pairs.groupBy("u", "v").agg(F.min(F.struct(*key)).alias("cell"))
-    return first.select("u", "v", F.xxhash64("cell").alias("block"))
+    whole = _sets(docs, text_col, _sieve(placed.select("node").distinct())).withColumnRenamed("tokens", "whole")
+    sent = cells.join(nodes.select("node", "n", "label", "last", "tokens").join(whole, "node"), "node").repartition(*key).sortWithinPartitions(*key)
+    return sent.mapInPandas(run, "u bigint, v bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -490,8 +516,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         links = links.unionByName(durable(_true_links(_blocked(durable(_with_leaders(lists, salt))), docs, text_col)))
         labels = durable(components(links))
         lists = lists.drop("label", "home")
-    pairs = durable(_open_pairs(_in_mixed_lists(lists, labels)))
-    links = links.unionByName(durable(_true_links(pairs, docs, text_col)))
+    links = links.unionByName(durable(_open_links(_in_mixed_lists(lists, labels), docs, text_col)))
     labels = durable(components(links))
     of_label = durable(labels.join(firsts, "node").groupBy("label").agg(F.min("first").alias("component")))
     settled = durable(firsts.join(labels, "node", "left").join(of_label, "label", "left").select(

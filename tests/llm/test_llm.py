@@ -306,26 +306,19 @@ def test_pipeline(spark, tmp_path):
 
 
 @pytest.mark.parametrize("per_block", [3, 256])
-def test_cells_give_all_open_pairs_once(spark, per_block, monkeypatch):
+def test_cells_join_all_that_links_join(spark, per_block, monkeypatch):
+    """Without rounds of leaders, all links of large sets come from the cells."""
     monkeypatch.setattr(jaccard, "PER_BLOCK", per_block)
-    monkeypatch.setattr(jaccard, "LISTS_AT_ONCE", 5)
-    rng = random.Random(7)
-    sizes = {i: rng.choice((20, 21, 24, 25, 26, 40)) for i in range(60)}
-    label = {i: i % 25 for i in sizes}
-    last = {i: rng.randrange(9) for i in sizes}
-    held = {i: sorted(rng.sample(range(12), int(jaccard.listed(n)) if n < 40 else 8)) for i, n in sizes.items()}
-    lists = [(t, i) for i, tokens in held.items() for t in tokens]
-    home = {t: min(i for u, i in lists if u == t) for t, _ in lists}
-    rows = spark.createDataFrame([(t, i, sizes[i], last[i], label[i], home[t]) for t, i in lists],
-                                 "token long, node long, n long, last long, label long, home long")
-    expected = set()
-    for i in sizes:
-        for j in range(i + 1, 60):
-            common = len({*held[i]} & {*held[j]})
-            small, large = sorted((sizes[i], sizes[j]))
-            rest = {k: sizes[k] - int(jaccard.listed(sizes[k])) for k in (i, j)}
-            others = max(rest.values()) if last[i] == last[j] else rest[min((i, j), key=last.get)]
-            if common and label[i] != label[j] and 5 * small >= 4 * large and common + others >= jaccard.needed(small, large):
-                expected.add((i, j))
-    got = [(r["u"], r["v"]) for r in jaccard._open_pairs(rows).collect()]
-    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 20
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    rng, rows = random.Random(per_block), []
+    for group in range(4):
+        base = words(rng, 40 + 45 * group, 5000)
+        for i in range(45):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randrange(1 + len(base) // 18)):
+                copy[at] = f"x{group}-{i}-{at}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    expected = brute.near(rows)
+    assert {r["doc_id"]: tuple(r)[1:] for r in jaccard.near_groups(docs).collect()} == expected
+    assert 4 < len({component for _, component in expected.values()}) < len(rows)
