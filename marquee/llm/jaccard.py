@@ -27,7 +27,7 @@ by `near_groups` and carried along by `keep_one`. Shingles and sets are told apa
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -416,6 +416,10 @@ def pairs_in_cell(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     unlisted = n - listed(n)
     others = np.where(last[a] < last[b], unlisted[a], np.where(last[a] > last[b], unlisted[b], np.maximum(unlisted[a], unlisted[b])))
     ok = common[a, b].astype(np.int64) + others >= needed(n[a], n[b])
+    a, b = a[ok], b[ok]
+    # Of the homes that both have, the smallest one sees to a pair.
+    homes, here = [set(x) for x in cell["homes"]], cell["home"].iat[0]
+    ok = np.array([min(homes[u] & homes[v]) == here for u, v in zip(a.tolist(), b.tolist())], bool)
     return a[ok], b[ok]
 
 
@@ -451,8 +455,9 @@ def _open_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """u, v: links that join all components that any links between them join.
 
     Lists with the same smallest node share a home, and near copies have few homes. A home's nodes of neighbouring
-    sizes are dealt to parts, and every two parts are a cell: a node is sent with all its lists and its whole set to the
-    cells of its homes. A cell counts lists and checks sets in memory, and sends a forest of links, fewer than its nodes.
+    sizes are dealt to parts, and every two parts are a cell: a node is sent with all its lists to the cells of its homes.
+    A cell counts lists in memory and tells which of its nodes are in a pair to check. These are sent again with their whole
+    sets, and the cell checks the pairs and sends a forest of links. Both times it gives fewer rows than it has nodes.
     """
     nodes = durable(rows.groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("n", "label", "last")], F.collect_list("token").alias("tokens"), F.collect_set("home").alias("homes")))
@@ -468,6 +473,26 @@ def _open_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
         "node", "home", "step", "low", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     key = ["home", "step", "i", "j"]
 
+    full = nodes.select("node", "n", "label", "last", "tokens", "homes")
+
+    def told(cell: pd.DataFrame) -> pd.DataFrame:
+        a, b = pairs_in_cell(cell)
+        return cell.iloc[np.union1d(a, b)][["node", "low", "part", *key]]
+
+    def linked(cell: pd.DataFrame) -> pd.DataFrame:
+        u, v = (cell["node"].to_numpy()[np.array(x, np.int64)] for x in links_in_cell(cell))
+        return pd.DataFrame({"u": u, "v": v})
+
+    part = "low boolean, part bigint, home bigint, step bigint, i bigint, j bigint"
+    checked = durable(_by_cell(cells.join(full, "node"), key, told, f"node bigint, {part}"))
+    whole = _sets(docs, text_col, _sieve(checked)).withColumnRenamed("tokens", "whole")
+    return _by_cell(checked.join(full, "node").join(whole, "node"), key, linked, "u bigint, v bigint")
+
+
+def _by_cell(rows: DataFrame, key: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """work(rows of a cell) for every cell with several rows. Cells stream through their task one after the other."""
+    names = [field.split()[0] for field in schema.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []  # the last cell may go on in the next batch
         for batch in batches:
@@ -476,23 +501,16 @@ def _open_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
             if rest and (rest[0][key].iloc[0] == pieces[0][key].iloc[0]).all():
                 rest.append(pieces.pop(0))
             if pieces:
-                yield found([pd.concat(rest, ignore_index=True), *pieces[:-1]] if rest else pieces[:-1])
+                yield done([pd.concat(rest, ignore_index=True), *pieces[:-1]] if rest else pieces[:-1])
                 rest = [pieces[-1]]
         if rest:
-            yield found([pd.concat(rest, ignore_index=True)])
-
-    def found(ready: list[pd.DataFrame]) -> pd.DataFrame:
-        out = [pd.DataFrame({c: pd.Series(dtype="int64") for c in ("u", "v")})]
-        for cell in ready:
-            if len(cell) > 1:
-                nodes = cell["node"].to_numpy()
-                u, v = (nodes[np.array(x, np.int64)] for x in links_in_cell(cell))
-                out.append(pd.DataFrame({"u": u, "v": v}))
-        return pd.concat(out, ignore_index=True)
-
-    whole = _sets(docs, text_col, _sieve(placed.select("node").distinct())).withColumnRenamed("tokens", "whole")
-    sent = cells.join(nodes.select("node", "n", "label", "last", "tokens").join(whole, "node"), "node").repartition(*key).sortWithinPartitions(*key)
-    return sent.mapInPandas(run, "u bigint, v bigint")
+            yield done([pd.concat(rest, ignore_index=True)])
+
+    def done(ready: list[pd.DataFrame]) -> pd.DataFrame:
+        out = [work(cell)[names] for cell in ready if len(cell) > 1]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
