@@ -317,12 +317,12 @@ def _(t: Tables):
 
 
 def sign_ins(t: Tables):
-    """Orders as sign-ins: by a known uid, by a known e-mail under a new uid, and by strangers."""
+    """Orders as sign-ins: by a known uid, by a known e-mail under a new uid, by both, and by strangers."""
     key, user = F.col("o_orderkey"), F.col("o_custkey")
     kind = user % 4  # users whose number divides by four have no uid yet
     stranger = key % 10 == 9
     uid = F.when(stranger, F.concat(F.lit("new-"), (key % 700).cast("string"))).otherwise(
-        F.concat(F.lit("uid-"), user.cast("string")))
+        F.concat(F.when(key % 10 == 8, "alt-").otherwise("uid-"), user.cast("string")))
     email = F.when(stranger, F.concat(F.lit("guest"), (key % 700).cast("string"), F.lit("@mail.example"))).otherwise(
         F.concat(F.lit("user"), user.cast("string"), F.lit("@mail.example")))
     return t.read("orders").select(
@@ -335,7 +335,7 @@ def sign_ins(t: Tables):
 
 SIGN_INS = """
     SELECT * FROM (
-        SELECT CASE WHEN o_orderkey % 10 = 9 THEN 'new-' || (o_orderkey % 700) ELSE 'uid-' || o_custkey END AS uid,
+        SELECT CASE WHEN o_orderkey % 10 = 9 THEN 'new-' || (o_orderkey % 700) WHEN o_orderkey % 10 = 8 THEN 'alt-' || o_custkey ELSE 'uid-' || o_custkey END AS uid,
                CASE WHEN o_orderkey % 10 = 9 THEN 'guest' || (o_orderkey % 700) ELSE 'user' || o_custkey END || '@mail.example' AS email,
                o_orderkey % 3 = 0 AS email_verified,
                CASE WHEN o_custkey % 4 <> 2 THEN 'Name ' || (o_custkey % 50) END AS name,
@@ -346,14 +346,14 @@ SIGN_INS = """
 
 @query("reconcile_identities", f"""
     WITH s AS ({SIGN_INS}),
-    known AS (SELECT uid, arg_max(email_verified, signed_at) AS verified FROM s
+    known AS (SELECT uid, arg_max(email_verified, signed_at) AS verified, max(signed_at) AS at FROM s
               WHERE uid IN (SELECT auth_uid FROM users WHERE auth_uid IS NOT NULL) GROUP BY uid),
-    rest AS (SELECT email, arg_max(uid, signed_at) AS uid, arg_max(email_verified, signed_at) AS verified,
+    rest AS (SELECT email, arg_max(uid, signed_at) AS uid, arg_max(email_verified, signed_at) AS verified, max(signed_at) AS at,
                     arg_min(name, signed_at) FILTER (WHERE name IS NOT NULL) AS name,
                     arg_min(picture, signed_at) FILTER (WHERE picture IS NOT NULL) AS picture
              FROM s WHERE uid NOT IN (SELECT auth_uid FROM users WHERE auth_uid IS NOT NULL) GROUP BY email)
     SELECT u.email, coalesce(r.uid, u.auth_uid) AS auth_uid, coalesce(u.full_name, r.name) AS full_name,
-           coalesce(u.avatar_url, r.picture) AS avatar_url, coalesce(r.verified, k.verified, u.is_verified) AS is_verified
+           coalesce(u.avatar_url, r.picture) AS avatar_url, coalesce(CASE WHEN r.at >= coalesce(k.at, r.at) THEN r.verified ELSE k.verified END, u.is_verified) AS is_verified
     FROM users u LEFT JOIN known k ON k.uid = u.auth_uid LEFT JOIN rest r ON r.email = u.email
     UNION ALL
     SELECT email, uid, name, picture, verified FROM rest WHERE email NOT IN (SELECT email FROM users)""")

@@ -77,7 +77,7 @@ def accepted_sign_ins(sign_ins: DataFrame) -> DataFrame:
 
 
 def _collapsed(sign_ins: DataFrame, key: str) -> DataFrame:
-    """One row per key: first given name and picture, last verified flag and uid."""
+    """One row per key: first given name and picture, last verified flag and uid, and when the last sign-in was."""
     def first(column: str) -> Column:
         return F.min(F.when(F.col(column).isNotNull(), F.struct("signed_at", "uid", column)))[column].alias(column)
 
@@ -85,7 +85,8 @@ def _collapsed(sign_ins: DataFrame, key: str) -> DataFrame:
     grouped = sign_ins.groupBy(key).agg(
         first("name"), first("picture"), latest.alias("latest"),
         F.min(F.struct("signed_at", "uid", "email"))["email"].alias("first_email"))
-    columns = [F.col(key), F.col("name"), F.col("picture"), F.col("latest.email_verified").alias("email_verified")]
+    columns = [F.col(key), F.col("name"), F.col("picture"), F.col("latest.email_verified").alias("email_verified"),
+               F.col("latest.signed_at").alias("signed_at")]
     columns.append(F.col("latest.uid").alias("uid") if key == "email" else F.col("first_email").alias("email"))
     return grouped.select(*columns)
 
@@ -94,26 +95,26 @@ def reconcile_identities(users: DataFrame, sign_ins: DataFrame) -> DataFrame:
     """Users after a batch of sign-ins: matched by uid, else by e-mail, else inserted.
 
     An e-mail match takes the new uid and fills name and picture only where they are NULL; every match
-    takes the verified flag. `sign_ins(uid, email, email_verified, name, picture, provider, signed_at)`.
+    takes the verified flag, the later one where uid and e-mail both match. `sign_ins(uid, email, email_verified, name, picture, provider, signed_at)`.
     """
     accepted = accepted_sign_ins(sign_ins)
     known = users.filter(F.col("auth_uid").isNotNull()).select(F.col("auth_uid").alias("uid"))
     by_uid = _collapsed(accepted.join(known, "uid", "left_semi"), "uid").select(
-        F.col("uid").alias("auth_uid"), F.col("email_verified").alias("_uid_verified"))
+        F.col("uid").alias("auth_uid"), F.col("email_verified").alias("_uid_verified"), F.col("signed_at").alias("_uid_at"))
     unknown = accepted.join(known, "uid", "left_anti")
     # A new uid is one person, under the e-mail of the first sign-in, whatever e-mails follow.
     first_email = unknown.groupBy("uid").agg(F.min(F.struct("signed_at", "email"))["email"].alias("email"))
     rest = _collapsed(unknown.drop("email").join(first_email, "uid"), "email")
-    by_email = rest.select("email", F.struct("uid", "name", "picture", "email_verified").alias("_mail"))
+    by_email = rest.select("email", F.struct("uid", "name", "picture", "email_verified", "signed_at").alias("_mail"))
 
     joined = users.join(by_uid, "auth_uid", "left").join(by_email, "email", "left")
     mail = F.col("_mail")
+    verified = F.when(mail["signed_at"] >= F.coalesce("_uid_at", mail["signed_at"]), mail["email_verified"]).otherwise(F.col("_uid_verified"))
     updated = joined.select(*[{
         "auth_uid": F.coalesce(mail["uid"], F.col("auth_uid")).alias("auth_uid"),
         "full_name": F.coalesce("full_name", mail["name"]).alias("full_name"),
         "avatar_url": F.coalesce("avatar_url", mail["picture"]).alias("avatar_url"),
-        "is_verified": F.coalesce(mail["email_verified"], F.col("_uid_verified"), F.col("is_verified"))
-        .alias("is_verified"),
+        "is_verified": F.coalesce(verified, F.col("is_verified")).alias("is_verified"),
     }.get(name, F.col(name)) for name in users.columns])
 
     fresh = rest.join(users.select("email"), "email", "left_anti")
