@@ -57,6 +57,11 @@ SIEVE_BITS = 24
 ROUNDS, LEADERS, CHECKED, LIKELY = 2, 8, 6, 0.65
 #: Nodes of a block of pairs or of a part of a cell, lists counted at once, and the step of sizes (above 5/4).
 PER_BLOCK, LISTS_AT_ONCE, SIZE_STEP = 256, 4096, 1.26
+#: Nodes of a cell up to which lists are intersected pair by pair.
+FEW = 16
+
+#: The columns of a cell's rows.
+Cell = dict[str, np.ndarray]
 
 
 def needed(s: Column | np.ndarray | int, t: Column | np.ndarray | int):
@@ -389,45 +394,71 @@ def _with_leaders(rows: DataFrame, salt: int) -> DataFrame:
     return best.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
 
 
-def pairs_in_cell(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of a cell whose common lists leave room for a link.
+def _may_link(cell: Cell, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of places are of different components and of sizes that can link, and belong to this cell."""
+    n, label, low, part = (cell[c] for c in ("n", "label", "low", "part"))
+    ok = (label[a] != label[b]) & (low[a] | low[b]) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
+    if cell["i"][0] != cell["j"][0]:  # pairs of one part have their own cell
+        ok &= part[a] != part[b]
+    return ok
 
-    With k lists in common, the pair's other common shingles come after the listed ones of that set whose list ends
-    first, so they are no more than that set has unlisted ones. Lists are counted as a product of matrices, some
+
+def _common_lists(cell: Cell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs that may link and have lists in common, and how many lists.
+
+    In a cell of few nodes each pair's lists are intersected; else they are counted as a product of matrices, some
     thousand lists at a time.
     """
-    lengths = cell["tokens"].map(len).to_numpy()
+    size = len(cell["n"])
+    if size <= FEW:
+        a, b = np.triu_indices(size, 1)
+        ok = _may_link(cell, a, b)
+        a, b = a[ok], b[ok]
+        if not len(a):
+            return a, b, a
+        lists = [set(x.tolist()) for x in cell["tokens"]]
+        k = np.array([len(lists[u] & lists[v]) for u, v in zip(a.tolist(), b.tolist())], np.int64)
+        return a[k > 0], b[k > 0], k[k > 0]
+    lengths = np.array([len(x) for x in cell["tokens"]])
     _, at, held = np.unique(np.concatenate(cell["tokens"].tolist()), return_inverse=True, return_counts=True)
-    row, several = np.repeat(np.arange(len(cell)), lengths), held > 1
+    row, several = np.repeat(np.arange(size), lengths), held > 1
     column = (np.cumsum(several) - 1)[at]
     row, column = row[several[at]], column[several[at]]
-    common = np.zeros((len(cell), len(cell)), np.float32)
+    common = np.zeros((size, size), np.float32)
     for start in range(0, int(several.sum()), LISTS_AT_ONCE):
         chosen = (column >= start) & (column < start + LISTS_AT_ONCE)
-        table = np.zeros((len(cell), min(LISTS_AT_ONCE, int(several.sum()) - start)), np.float32)
+        table = np.zeros((size, min(LISTS_AT_ONCE, int(several.sum()) - start)), np.float32)
         table[row[chosen], column[chosen] - start] = 1
         common += table @ table.T
-    n, label, last, low, part = (cell[c].to_numpy() for c in ("n", "label", "last", "low", "part"))
     a, b = np.nonzero(np.triu(common, 1))
-    ok = (label[a] != label[b]) & (low[a] | low[b]) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
-    if cell["i"].iat[0] != cell["j"].iat[0]:  # pairs of one part have their own cell
-        ok &= part[a] != part[b]
+    ok = _may_link(cell, a, b)
     a, b = a[ok], b[ok]
+    return a, b, common[a, b].astype(np.int64)
+
+
+def pairs_in_cell(cell: Cell) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a cell whose common lists leave room for a link.
+
+    With k lists in common, the pair's other common shingles come after the listed ones of that set whose list ends
+    first, so they are no more than that set has unlisted ones.
+    """
+    a, b, common = _common_lists(cell)
+    n, last = cell["n"], cell["last"]
     unlisted = n - listed(n)
     others = np.where(last[a] < last[b], unlisted[a], np.where(last[a] > last[b], unlisted[b], np.maximum(unlisted[a], unlisted[b])))
-    ok = common[a, b].astype(np.int64) + others >= needed(n[a], n[b])
+    ok = common + others >= needed(n[a], n[b])
     a, b = a[ok], b[ok]
     # Of the homes that both have, the smallest one sees to a pair.
-    homes, here = [set(x) for x in cell["homes"]], cell["home"].iat[0]
+    homes, here = {x: set(cell["homes"][x].tolist()) for x in {*a.tolist(), *b.tolist()}}, cell["home"][0]
     ok = np.array([min(homes[u] & homes[v]) == here for u, v in zip(a.tolist(), b.tolist())], bool)
     return a[ok], b[ok]
 
 
-def links_in_cell(cell: pd.DataFrame) -> tuple[list[int], list[int]]:
+def links_in_cell(cell: Cell) -> tuple[list[int], list[int]]:
     """Places of pairs that are linked, as few as join what the cell's links join: a pair that is joined already is skipped."""
     a, b = pairs_in_cell(cell)
     sets = [np.frombuffer(packed, np.uint64) for packed in cell["whole"]]
-    _, own = np.unique(cell["label"].to_numpy(), return_inverse=True)
+    _, own = np.unique(cell["label"], return_inverse=True)
     above = list(range(int(own.max()) + 1))
     found: tuple[list[int], list[int]] = ([], [])
 
@@ -475,13 +506,13 @@ def _open_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
     full = nodes.select("node", "n", "label", "last", "tokens", "homes")
 
-    def told(cell: pd.DataFrame) -> pd.DataFrame:
-        a, b = pairs_in_cell(cell)
-        return cell.iloc[np.union1d(a, b)][["node", "low", "part", *key]]
+    def told(cell: Cell) -> Cell:
+        at = np.union1d(*pairs_in_cell(cell))
+        return {c: cell[c][at] for c in ("node", "low", "part", *key)}
 
-    def linked(cell: pd.DataFrame) -> pd.DataFrame:
-        u, v = (cell["node"].to_numpy()[np.array(x, np.int64)] for x in links_in_cell(cell))
-        return pd.DataFrame({"u": u, "v": v})
+    def linked(cell: Cell) -> Cell:
+        u, v = (cell["node"][np.array(x, np.int64)] for x in links_in_cell(cell))
+        return {"u": u, "v": v}
 
     part = "low boolean, part bigint, home bigint, step bigint, i bigint, j bigint"
     checked = durable(_by_cell(cells.join(full, "node"), key, told, f"node bigint, {part}"))
@@ -489,26 +520,36 @@ def _open_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return _by_cell(checked.join(full, "node").join(whole, "node"), key, linked, "u bigint, v bigint")
 
 
-def _by_cell(rows: DataFrame, key: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """work(rows of a cell) for every cell with several rows. Cells stream through their task one after the other."""
+def _by_cell(rows: DataFrame, key: list[str], work: Callable[[Cell], Cell], schema: str) -> DataFrame:
+    """work(rows of a cell) for every cell with several rows. Cells stream through their task one after the other.
+
+    Most cells have a few rows, so a cell is arrays cut from the batch's columns and not a frame of its own.
+    """
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []  # the last cell may go on in the next batch
+        rest: list[Cell] = []  # the last cell may go on in the next batch
         for batch in batches:
-            edges = np.flatnonzero((batch[key].to_numpy()[1:] != batch[key].to_numpy()[:-1]).any(axis=1)) + 1
-            pieces = [batch.iloc[a:b] for a, b in zip([0, *edges], [*edges, len(batch)])]
-            if rest and (rest[0][key].iloc[0] == pieces[0][key].iloc[0]).all():
+            if not len(batch):
+                continue
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            changes = np.logical_or.reduce([columns[c][1:] != columns[c][:-1] for c in key])
+            edges = (np.flatnonzero(changes) + 1).tolist()
+            pieces = [{c: x[a:b] for c, x in columns.items()} for a, b in zip([0, *edges], [*edges, len(batch)])]
+            if rest and all(rest[0][c][0] == pieces[0][c][0] for c in key):
                 rest.append(pieces.pop(0))
             if pieces:
-                yield done([pd.concat(rest, ignore_index=True), *pieces[:-1]] if rest else pieces[:-1])
+                yield done([joined(rest), *pieces[:-1]] if rest else pieces[:-1])
                 rest = [pieces[-1]]
         if rest:
-            yield done([pd.concat(rest, ignore_index=True)])
+            yield done([joined(rest)])
+
+    def joined(parts: list[Cell]) -> Cell:
+        return {c: np.concatenate([part[c] for part in parts]) for c in parts[0]} if len(parts) > 1 else parts[0]
 
-    def done(ready: list[pd.DataFrame]) -> pd.DataFrame:
-        out = [work(cell)[names] for cell in ready if len(cell) > 1]
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
+    def done(ready: list[Cell]) -> pd.DataFrame:
+        out = [work(cell) for cell in ready if len(cell[key[0]]) > 1]
+        return pd.DataFrame(joined(out) if out else {c: [] for c in names}, columns=names)
 
     return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
 
