@@ -62,6 +62,8 @@ FEW = 16
 
 #: The columns of a cell's rows.
 Cell = dict[str, np.ndarray]
+#: From a stored table with a column `node` to the whole sets of at least these nodes: node, tokens.
+Whole = Callable[[DataFrame], DataFrame]
 
 
 def needed(s: Column | np.ndarray | int, t: Column | np.ndarray | int):
@@ -108,36 +110,39 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return through_python(rows, run, "node bigint, n bigint, tokens binary")
 
 
-def _sets(docs: DataFrame, text_col: str, sieve: bytes) -> DataFrame:
-    """node, tokens (packed, whole) of the nodes that pass the sieve, once each."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+def _sets(docs: DataFrame, id_col: str, text_col: str, sieves: tuple[bytes, bytes]) -> DataFrame:
+    """node, tokens (packed, whole) of the nodes that pass the sieves, once each. Only texts whose id passes are cut into shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieves)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        of_ids, of_nodes = (np.frombuffer(x, np.uint8) for x in shared.value)
         for batch in batches:
-            for part in _chunks(batch):
+            at = batch["at"].to_numpy().view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+            passes = of_ids[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            for part in _chunks(batch[passes.astype(bool)]):
                 out = []
                 for tokens in shingle_sets(part["text"].tolist()):
                     if len(tokens):
                         node = _node(tokens)
                         at = (node % 2**64) >> (64 - SIEVE_BITS)
-                        if bits[at >> 3] >> (at & 7) & 1:
+                        if of_nodes[at >> 3] >> (at & 7) & 1:
                             out.append((node, tokens.tobytes()))
                 yield pd.DataFrame(out, columns=["node", "tokens"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "node bigint, tokens binary")
-    return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    rows = docs.select(F.xxhash64(id_col).alias("at"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "node bigint, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def _sieve(nodes: DataFrame) -> bytes:
-    """One bit for each leading `SIEVE_BITS` bits of a node: 2 MB, whatever the number of nodes."""
-    places = nodes.select(F.shiftrightunsigned("node", 64 - SIEVE_BITS).alias("place"))
-    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(
+def _sieves(nodes: DataFrame, firsts: DataFrame) -> tuple[bytes, bytes]:
+    """A bit for the leading `SIEVE_BITS` bits of the hash of each node's first id, and for those of the node: 2 MB each, always."""
+    hashes = nodes.select("node").join(firsts, "node").select(F.posexplode(F.array(F.xxhash64("first"), "node")).alias("which", "hash"))
+    places = hashes.select("which", F.shiftrightunsigned("hash", 64 - SIEVE_BITS).alias("place"))
+    words = places.groupBy("which", F.shiftright("place", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
-    table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    tables = np.zeros((2, 1 << (SIEVE_BITS - 6)), np.int64)
     for row in words.toLocalIterator():
-        table[row["word"]] = row["bits"]
-    return table.tobytes()
+        tables[row["which"], row["word"]] = row["bits"]
+    return tables[0].tobytes(), tables[1].tobytes()
 
 
 def _frequent(nodes: DataFrame, parts: int) -> tuple[np.ndarray, dict[int, int]]:
@@ -189,7 +194,7 @@ def _in_order(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int
     return np.concatenate((tokens[~late], tokens[late])), int((~late).sum())
 
 
-def _lists(nodes: DataFrame, docs: DataFrame, text_col: str, least: int, frequent: np.ndarray, hot: dict[int, int], parts: int
+def _lists(nodes: DataFrame, whole: Whole, least: int, frequent: np.ndarray, hot: dict[int, int], parts: int
            ) -> DataFrame:
     """token, node, n, last of every node of at least `least` shingles under each of its listed shingles.
 
@@ -268,7 +273,7 @@ def _lists(nodes: DataFrame, docs: DataFrame, text_col: str, least: int, frequen
     rows = nodes.select("node", "n", "tokens").mapInPandas(of_kept, packed)
     if len(frequent):
         lacking = durable(nodes.select("node", "n", "tokens").mapInPandas(lacks, "node bigint"))
-        sets = _sets(docs, text_col, _sieve(lacking)).join(lacking, "node", "left_semi")
+        sets = whole(lacking).join(lacking, "node", "left_semi")
         rows = rows.unionByName(sets.mapInPandas(of_texts, packed))
     found = rows.repartition(parts, "part").mapInPandas(scan, "token bigint, node bigint, last bigint")
     return durable(found).join(nodes.select("node", "n"), "node").select("token", "node", "n", "last")
@@ -338,11 +343,11 @@ def _blocked(pairs: DataFrame) -> DataFrame:
         "u", "v", F.xxhash64(F.least("at_u", "at_v"), F.greatest("at_u", "at_v")).alias("block")))
 
 
-def _true_links(blocked: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def _true_links(blocked: DataFrame, whole: Whole) -> DataFrame:
     """Of pairs (u, v, block), those whose whole sets share enough. `blocked` must be a stored table."""
     ends = durable(blocked.select("block", F.col("u").alias("node")).unionByName(
         blocked.select("block", F.col("v").alias("node"))).distinct())
-    sets = _sets(docs, text_col, _sieve(ends)).join(ends, "node")
+    sets = whole(ends).join(ends, "node")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = {node: np.frombuffer(tokens, np.uint64) for node, tokens in zip(right["node"], right["tokens"])}
@@ -482,7 +487,7 @@ def links_in_cell(cell: Cell) -> tuple[list[int], list[int]]:
     return found
 
 
-def _open_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def _open_links(rows: DataFrame, whole: Whole) -> DataFrame:
     """u, v: links that join all components that any links between them join.
 
     Lists with the same smallest node share a home, and near copies have few homes. A home's nodes of neighbouring
@@ -516,8 +521,8 @@ def _open_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
     part = "low boolean, part bigint, home bigint, step bigint, i bigint, j bigint"
     checked = durable(_by_cell(cells.join(full, "node"), key, told, f"node bigint, {part}"))
-    whole = _sets(docs, text_col, _sieve(checked)).withColumnRenamed("tokens", "whole")
-    return _by_cell(checked.join(full, "node").join(whole, "node"), key, linked, "u bigint, v bigint")
+    sets = whole(checked).withColumnRenamed("tokens", "whole")
+    return _by_cell(checked.join(full, "node").join(sets, "node"), key, linked, "u bigint, v bigint")
 
 
 def _by_cell(rows: DataFrame, key: list[str], work: Callable[[Cell], Cell], schema: str) -> DataFrame:
@@ -554,6 +559,12 @@ def _by_cell(rows: DataFrame, key: list[str], work: Callable[[Cell], Cell], sche
     return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links."""
+    known = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return durable(components(known.unionByName(links.select("u", "v"))))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id."""
     sketches = durable(_sketches(docs, id_col, text_col))
@@ -567,16 +578,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.count("*").alias("c")).collect()}
     small = boundary(sizes)
     frequent, hot = _frequent(nodes, parts)
-    lists = durable(_lists(nodes, docs, text_col, -(-NUMERATOR * (small + 1) // DENOMINATOR), frequent, hot, parts))
-    links = durable(_subset_links(nodes, small))
-    labels = durable(components(links))
+
+    def whole(wanted: DataFrame) -> DataFrame:
+        return _sets(docs, id_col, text_col, _sieves(wanted, firsts))
+
+    lists = durable(_lists(nodes, whole, -(-NUMERATOR * (small + 1) // DENOMINATOR), frequent, hot, parts))
+    labels = durable(components(_subset_links(nodes, small)))
     for salt in range(ROUNDS):
         lists = _in_mixed_lists(lists, labels)
-        links = links.unionByName(durable(_true_links(_blocked(durable(_with_leaders(lists, salt))), docs, text_col)))
-        labels = durable(components(links))
+        labels = _joined(labels, _true_links(_blocked(durable(_with_leaders(lists, salt))), whole))
         lists = lists.drop("label", "home")
-    links = links.unionByName(durable(_open_links(_in_mixed_lists(lists, labels), docs, text_col)))
-    labels = durable(components(links))
+    labels = _joined(labels, _open_links(_in_mixed_lists(lists, labels), whole))
     of_label = durable(labels.join(firsts, "node").groupBy("label").agg(F.min("first").alias("component")))
     settled = durable(firsts.join(labels, "node", "left").join(of_label, "label", "left").select(
         "node", F.coalesce("component", "first").alias("component")))
