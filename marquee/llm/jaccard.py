@@ -347,19 +347,25 @@ def _true_links(blocked: DataFrame, whole: Whole) -> DataFrame:
     """Of pairs (u, v, block), those whose whole sets share enough. `blocked` must be a stored table."""
     ends = durable(blocked.select("block", F.col("u").alias("node")).unionByName(
         blocked.select("block", F.col("v").alias("node"))).distinct())
-    sets = whole(ends).join(ends, "node")
+    nothing = F.lit(None).cast("binary")
+    sets = whole(ends).join(ends, "node").select("block", F.col("node").alias("u"), F.col("node").alias("v"), "tokens")
+    rows = sets.unionByName(blocked.select("block", "u", "v", nothing.alias("tokens")))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        held = {node: np.frombuffer(tokens, np.uint64) for node, tokens in zip(right["node"], right["tokens"])}
-        keep = []
-        for u, v in zip(left["u"], left["v"]):
-            a, b = sorted((held[u], held[v]), key=len)
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            keep.append(int((b[at] == a).sum()) >= needed(len(a), len(b)))
-        return left[np.array(keep, bool)][["u", "v"]]
+    def checked(block: Cell) -> Cell:
+        u, v, is_set = block["u"], block["v"], block["u"] == block["v"]
+        held = {node: np.frombuffer(tokens, np.uint64) for node, tokens in zip(u[is_set].tolist(), block["tokens"][is_set])}
+        pairs = [(x, y) for x, y in zip(u[~is_set].tolist(), v[~is_set].tolist()) if _share_enough(held[x], held[y])]
+        return dict(zip(("u", "v"), np.array(pairs, np.int64).reshape(-1, 2).T))
 
-    return blocked.groupBy("block").cogroup(sets.groupBy("block")).applyInPandas(run, "u bigint, v bigint")
+    return _by_cell(rows, ["block"], checked, "u bigint, v bigint")
+
+
+def _share_enough(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two whole sets link."""
+    few, many = sorted((a, b), key=len)
+    at = np.searchsorted(many, few)
+    at[at == len(many)] = 0
+    return int((many[at] == few).sum()) >= needed(len(few), len(many))
 
 
 def _in_mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -477,10 +483,7 @@ def links_in_cell(cell: Cell) -> tuple[list[int], list[int]]:
         x, y = top(own[u]), top(own[v])
         if x == y:
             continue
-        few, many = sorted((sets[u], sets[v]), key=len)
-        at = np.searchsorted(many, few)
-        at[at == len(many)] = 0
-        if int((many[at] == few).sum()) >= needed(len(few), len(many)):
+        if _share_enough(sets[u], sets[v]):
             above[x] = y
             found[0].append(u)
             found[1].append(v)
