@@ -136,7 +136,9 @@ def enrich_weather(df: DataFrame, forecast: DataFrame) -> DataFrame:
     complete = F.expr("latitude IS NOT NULL AND longitude IS NOT NULL AND event_date IS NOT NULL")
     keyed = df.filter(complete).withColumns({
         "_lat": round_key(F.col("latitude"), 3), "_lng": round_key(F.col("longitude"), 3), "_date": F.col("event_date")})
-    found = spread_join(keyed, unique, ["_lat", "_lng", "_date"]).drop("_lat", "_lng", "_date")
+    key = ["_lat", "_lng", "_date"]
+    named = unique.join(keyed.select(*key).distinct(), key, "left_semi")  # only what the rows name is repeated
+    found = spread_join(keyed, named, key).drop(*key)
     return merge_hits_misses(found, df.filter(~complete))
 
 

@@ -38,7 +38,7 @@ def enrich_fact(interactions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Interactions with their event's columns; those of unknown events are kept.
 
     The catalogue side is unique, so rows never multiply, and the interactions of a popular event are
-    spread over several tasks. Spark broadcasts the catalogue when its measured size allows.
+    spread over several tasks.
     """
     bare = interactions.drop(*CATALOG_COLUMNS)  # a source may carry older values of them
     return spread_join(bare, unique_catalog(catalog), ["event_id"])

@@ -46,15 +46,17 @@ def run_catalogue_batch(spark: SparkSession, pages: str, raw_path: str, dead_let
                         forecast: DataFrame, now: dt.datetime, store: CatalogueStore | None = None) -> CatalogueRun:
     """`now` stamps the run and decides which cached venues are still good. With a `store`, the run is saved there."""
     tagged = sinks.land_tagged(readers.tag_pages(spark, pages), raw_path, now)
-    good, bad = catalog.split_valid(readers.typed_events(tagged), catalog.raw_event_rules())
+    typed = durable(readers.typed_events(tagged))  # else the rules would parse the text once for each field that they read
+    good, bad = catalog.split_valid(typed, catalog.raw_event_rules())
     rejected = bad.unionByName(readers.rejected_lines(tagged), allowMissingColumns=True)
     sinks.write_dead_letters(rejected, dead_letter_path, now)
 
-    events = catalog.drop_test_events(catalog.flatten_event(good))
+    # Every step reads its rows several times (keys, hits, rows without a key), so each is stored: else all
+    # that came before would run again for every combination of these. Two sinks read the last one.
+    events = durable(catalog.drop_test_events(catalog.flatten_event(good)))
     placed, venue_updates = enrich.enrich_venue(events, venue_cache, venue_answers, F.lit(now))
-    described, semantic_updates = enrich.enrich_semantic(placed, semantic_cache, semantic_answers, ARRIVAL_ADVICE)
-    # Two sinks read the result and remote answers must not be asked for twice.
-    documents = durable(enrich.enrich_weather(described, forecast))
+    described, semantic_updates = enrich.enrich_semantic(durable(placed), semantic_cache, semantic_answers, ARRIVAL_ADVICE)
+    documents = durable(enrich.enrich_weather(durable(described), forecast))
     sinks.append_new(documents, warehouse_path, WAREHOUSE, "event_date")
     run = CatalogueRun(documents, venue_updates, semantic_updates)
     if store is not None:

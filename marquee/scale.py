@@ -35,10 +35,13 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     same row always goes to the same part, also when a lost task is run again. Adaptive execution
     cannot split a hot key when the right side is fresh out of an aggregation or window on that key,
     which is where this is used.
+
+    Both sides are shuffled: Spark's estimate of an exploded table leaves the copies out, so it would plan to broadcast
+    one of any size through the driver, which it does not take back when the size is known.
     """
     hashable = [name for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
     salted = left.withColumn("_part", F.pmod(F.xxhash64(*hashable), F.lit(parts)).cast("int"))
-    repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).hint("merge")
     return salted.join(repeated, [*keys, "_part"], how).drop("_part")
 
 

@@ -108,3 +108,17 @@ def test_silhouette_blocks_do_not_change_the_result(spark):
     df = spark.createDataFrame(rows, "id int, a double, b double, label int").repartition(5)
     results = [clustering.silhouette(df, ["a", "b"], block_rows=b).first()[0] for b in (1000, 100, 37)]
     assert max(results) - min(results) < 1e-12
+
+
+def test_copies_of_a_spread_join_count_towards_a_broadcast(spark):
+    """1,000 rows fit under the limit, their 16 copies do not."""
+    left = spark.range(100_000).select((F.col("id") % 1000).alias("key"), "id")
+    right = spark.range(1000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 65_536)
+        joined = spread_join(left, right, ["key"])
+        assert joined.filter("value = 2 * key").count() == 100_000
+        assert "BroadcastHashJoin" not in plan(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
