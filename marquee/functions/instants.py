@@ -34,8 +34,12 @@ def iso_date_or_null(value: Column) -> Column:
 def iso_text(instant: Column) -> Column:
     """`2024-02-01T20:30:00+00:00`; a fraction is written only when there is one."""
     whole = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ssxxx")
-    fine = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
-    return F.when(F.date_trunc("second", instant) == instant, whole).otherwise(fine)
+    return F.when(F.date_trunc("second", instant) == instant, whole).otherwise(iso_micros(instant))
+
+
+def iso_micros(instant: Column) -> Column:
+    """`2024-02-01T20:30:00.000000+00:00`, always with six digits."""
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
 
 
 def sort_instant_text(starts_at: Column, date: Column, time: Column) -> Column:

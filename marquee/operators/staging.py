@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.instants import iso_text, parse_instant
+from marquee.functions.instants import iso_micros, iso_text, parse_instant
 from marquee.functions.values import json_value
 from marquee.scale import top_per_key
 
@@ -15,11 +15,11 @@ PAYLOAD_FIELDS = ["event_id", "direction", "swiped_at", "dwell_ms", "session_id"
 def build_envelope(df: DataFrame, user: Column, now: Column) -> DataFrame:
     """Interaction payload rows -> message body and attributes.
 
-    Adds the signed-in user, and `now` where the client sent no time. `data` is JSON text,
-    `attributes` a string map.
+    Adds the signed-in user, and `now` where the client sent no time. A time that was sent has six digits of a second, also
+    when they are zero. `data` is JSON text, `attributes` a string map.
     """
     body = {name: F.col(name) for name in PAYLOAD_FIELDS if name in df.columns}
-    body["swiped_at"] = iso_text(F.coalesce(F.col("swiped_at"), now))
+    body["swiped_at"] = F.coalesce(iso_micros(F.col("swiped_at")), iso_text(now))
     body["user_id"] = user.cast("string")
     data = F.to_json(F.struct(*[value.alias(name) for name, value in body.items()]), {"ignoreNullFields": "false"})
     pairs = F.array(

@@ -184,3 +184,11 @@ def test_medians_are_exact_with_hot_values(spark, small, monkeypatch):
     evens = sorted(r[1] for r in rows if r[1] is not None)
     expected = (evens[len(evens) // 2 - 1] + evens[len(evens) // 2]) / 2 if len(evens) % 2 == 0 else evens[len(evens) // 2]
     assert features.medians(df, ["b"])["b"] == expected
+
+
+def test_sent_times_have_six_digits_also_on_a_whole_second(spark):
+    rows = spark.createDataFrame([("a", T0), ("b", T0 + dt.timedelta(microseconds=5)), ("c", None)], "event_id string, swiped_at timestamp").select(
+        "*", F.lit("left").alias("direction"))
+    built = staging.build_envelope(rows, F.lit("u"), F.lit(NOW)).orderBy("event_id").select(F.get_json_object("data", "$.swiped_at"))
+    assert [row[0] for row in built.collect()] == [
+        "2026-01-10T00:00:00.000000+00:00", "2026-01-10T00:00:00.000005+00:00", "2026-01-12T00:00:00+00:00"]
