@@ -6,7 +6,7 @@ next one and may be repeated. Rows without a whole key are refused, as a keyed s
 reports name them. Of several changes to a key in one run the first of `order_by` counts. What is broadcast is at most the
 list of bucket numbers.
 
-`erase_stored` takes rows of given keys out of tables of any layout. Bloom filters, one for each file, tell which files can
+`erase_stored` takes rows of given keys out of tables of any layout. An index from key hashes to files tells which files can
 hold a key; the key columns of those are read, and only files that do hold one are written anew.
 """
 
@@ -24,9 +24,8 @@ from marquee.sources import commits
 from marquee.sources.sinks import upsert_by_key
 
 BUCKETS = 64
-#: Bits of a file's Bloom filter, and hash functions. 2^20 bits tell 100,000 keys apart with 0.04 % mistakes.
-BLOOM_BITS, BLOOM_HASHES = 1 << 20, 5
-BLOOM = "_bloom"
+#: Folder of the key index in a stored table, and its buckets.
+KEYS, KEY_BUCKETS = "_keys", 64
 
 
 def bucket_of(key: Sequence[str], buckets: int) -> Column:
@@ -140,8 +139,9 @@ class KeyedTable:
 
 # Erasure
 
-def _bits(key: Column) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(F.lit(n), key.cast("string")), F.lit(BLOOM_BITS)) for n in range(BLOOM_HASHES)])
+def _hashed(rows: DataFrame, key: str) -> DataFrame:
+    hashed = rows.withColumn("hash", F.xxhash64(F.col(key).cast("string")))
+    return hashed.withColumn("bucket", F.pmod("hash", F.lit(KEY_BUCKETS)).cast("int"))
 
 
 def _file() -> Column:
@@ -149,37 +149,38 @@ def _file() -> Column:
 
 
 def index_files(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(file, bucket, bitmap): a Bloom filter of the key for each data file, in rows of 32,768 bits; stored with the table.
+    """(file, hash, bucket): which hashes of the key each data file holds, in folders by bucket; stored with the table.
 
-    Only files without a filter yet are read, and of them only the key.
+    Only files that are not indexed yet are read, and of them only the key.
     """
-    place = posixpath.join(path, BLOOM, key)
+    place = posixpath.join(path, KEYS, key)
+    schema = "file string, hash long, bucket int"
     files = commits.Files(spark, path)
-    known = bool(files.data_files(posixpath.join(BLOOM, key)))
-    rows = spark.read.parquet(path).select(_file().alias("file"), F.explode(_bits(F.col(key))).alias("bit"))
-    held = spark.read.parquet(place) if known else None
-    if held is not None:
+    rows = spark.read.parquet(path).select(_file().alias("file"), F.col(key))
+    new = None
+    if files.data_files(posixpath.join(KEYS, key)):
         # Whole files drop out of the scan: the filter on the file's name is applied to the list of files.
-        new = sorted({row[0] for row in spark.read.parquet(path).select(_file()).distinct().collect()}
-                     - {row[0] for row in held.select("file").distinct().collect()})
-        rows = rows.filter(F.col("file").isin(new)) if new else rows.filter("false")
-    made = rows.groupBy("file", F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bitmap"))
-    made.write.mode("append").parquet(place)
-    return spark.read.parquet(place)
+        held = spark.read.schema(schema).parquet(place).select("file").distinct()
+        new = sorted({row[0] for row in spark.read.parquet(path).select(_file()).distinct().collect()} - {row[0] for row in held.collect()})
+        rows = rows.filter(_file().isin(new))
+    if new is None or new:
+        (_hashed(rows, key).select("file", "hash", "bucket").distinct().repartitionByRange("bucket", "hash")
+         .write.mode("append").partitionBy("bucket").parquet(place))
+    return spark.read.schema(schema).parquet(place)
 
 
 def files_with(spark: SparkSession, path: str, key: str, ids: DataFrame) -> list[str]:
-    """Names of the files that hold one of the ids. Bloom filters narrow them down, then their keys are read."""
-    filters = index_files(spark, path, key)
+    """Names of the files that hold one of the ids. The index narrows them down, then their keys are read.
+
+    Each id meets only the files of its hash, so the work grows with the index's rows in the ids' buckets and not with all
+    pairs of a file and an id.
+    """
+    index = index_files(spark, path, key)
     wanted = ids.select(F.col(ids.columns[0]).alias("id")).filter("id IS NOT NULL").distinct()
-    asked = wanted.select("id", F.explode(_bits(F.col("id"))).alias("bit")).select(
-        "id", F.expr("bitmap_bucket_number(bit)").alias("bucket"), F.expr("bitmap_bit_position(bit)").alias("at"))
-    byte = F.conv(F.hex(F.substring("bitmap", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hits = filters.join(asked, "bucket").filter(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1)
-    likely = hits.groupBy("file", "id").agg(F.count_distinct("bucket", "at").alias("n"))
-    needed = asked.groupBy("id").agg(F.count_distinct("bucket", "at").alias("n"))
-    candidates = sorted(row[0] for row in likely.join(needed, ["id", "n"]).select("file").distinct().collect())
+    asked = _hashed(wanted, "id")
+    buckets = sorted(row[0] for row in asked.select("bucket").distinct().collect())  # at most KEY_BUCKETS
+    likely = index.filter(F.col("bucket").isin(buckets)).join(asked, ["bucket", "hash"], "left_semi")
+    candidates = sorted(row[0] for row in likely.select("file").distinct().collect())
     if not candidates:
         return []
     held = spark.read.parquet(path).filter(_file().isin(candidates)).select(_file().alias("file"), F.col(key).alias("id"))

@@ -204,3 +204,16 @@ def test_erasure_rewrites_only_files_that_hold_the_ids(spark, tmp_path, monkeypa
     after = stamps(saved)
     assert sum(after.get(name) == at for name, at in before.items()) == len(before) - 3
     assert run() == {users: 0, saved: 0}
+
+
+def test_erasure_compares_no_id_with_every_file(spark, tmp_path):
+    """100 ids and 12 files: what tells the files makes rows by ids and keys, not by their product."""
+    path = str(tmp_path / "saved")
+    spark.range(1200).select(F.concat(F.lit("u"), "id").alias("user_id")).repartitionByRange(12, "user_id").write.parquet(path)
+    ids = spark.range(1000, 1100).select(F.concat(F.lit("u"), "id").alias("id"))
+    assert stored.index_files(spark, path, "user_id").count() == 1200
+    assert stored.index_files(spark, path, "user_id").count() == 1200  # indexed once
+    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("user_id").alias("id"))
+    holding = sorted(row[0] for row in files.join(ids, "id").select("file").distinct().collect())
+    assert stored.files_with(spark, path, "user_id", ids) == holding and 0 < len(holding) < 12
+    assert stored.files_with(spark, path, "user_id", ids.select(F.concat("id", F.lit("x")))) == []
