@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from marquee.scale import durable
 
-BLOCK_ROWS = 20_000  # rows on each side of one silhouette task
+BLOCK_ROWS = 20_000  # rows on each side of one silhouette task, at most
+GROUPS = 24  # groups of rows that silhouette makes before its blocks are as large as that
 ROWS_PER_PARTITION = 20_000
 #: Rows of a packed block of the matrix, and rows from which starts are drawn.
 BLOCK, START_ROWS = 256, 10_000
@@ -117,6 +118,25 @@ def _mean_score(parts: DataFrame) -> DataFrame:
     return parts.groupBy("clustering").agg(F.avg(score).alias("silhouette"))
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x from all rows of y.
+
+    By inner products; where these cancel, or are not finite, by differences.
+    """
+    centre = y.mean(axis=0)
+    if np.isfinite(centre).all():
+        x, y = x - centre, y - centre
+    with np.errstate(invalid="ignore", over="ignore"):
+        norms = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)
+        squares = norms - 2.0 * (x @ y.T)
+        rows, others = np.nonzero(~(squares >= 1e-3 * norms))
+        for at in range(0, len(rows), 65_536):
+            r, o = rows[at:at + 65_536], others[at:at + 65_536]
+            gaps = x[r] - y[o]
+            squares[r, o] = (gaps * gaps).sum(axis=1)
+        return np.sqrt(squares)
+
+
 def _silhouette(df: DataFrame, columns: Sequence[str], labels: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     sizes = _long(df, [], labels).groupBy("clustering", "label").agg(F.count("*").alias("n"))
     clusters = sizes.agg(F.array_sort(F.collect_list(F.struct(_cluster_key().alias("key"), "clustering", "n")))).scalar()
@@ -130,33 +150,42 @@ def _silhouette(df: DataFrame, columns: Sequence[str], labels: Sequence[str], bl
         F.monotonically_increasing_id().alias("i"), F.array(*[number(label) for label in labels]).alias("own"),
         F.array(*[F.col(name).cast("double") for name in columns]).alias("x"))
     rows = durable(rows)  # the row numbers must not change between the two sides
-    g = max(1, math.ceil(rows.count() / block_rows))
+    n_rows = rows.count()
+    g = max(1, math.ceil(n_rows / max(block_rows, min(BLOCK_ROWS, n_rows // GROUPS))))
     # Both sides must have the same type for a and b, or their groups do not meet.
     part = F.pmod(F.xxhash64("i"), F.lit(g)).cast("int")
-    groups = F.sequence(F.lit(0), F.lit(g - 1))
-    left = rows.withColumn("a", part).withColumn("b", F.explode(groups))
-    right = rows.withColumn("b", part).withColumn("a", F.explode(groups))
-
-    def sums(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    left = rows.withColumn("a", part).withColumn("b", F.explode(F.sequence("a", F.lit(g - 1))))
+    right = rows.withColumn("b", part).withColumn("a", F.explode(F.sequence(F.lit(0), "b")))
+
+    def members(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Features, own clusters, and for each clustering its clusters and who is in which."""
+        own, found = np.stack(block["own"].to_numpy()), []
+        for numbers in own.T:
+            others, codes = np.unique(numbers, return_inverse=True)
+            found.append((others, np.eye(len(others))[codes]))
+        return np.stack(block["x"].to_numpy()), own, found
+
+    def sums(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        """Sums of the rows of both sides over the other one's clusters; distances inside a group are in both orders already."""
         found: list[tuple] = []
+
+        def add(ids: np.ndarray, own: np.ndarray, others: np.ndarray, total: np.ndarray) -> None:
+            found.append((np.repeat(ids, len(others)), np.repeat(own, len(others)), np.tile(others, len(ids)), total.ravel()))
+
         if len(one) and len(two):
-            y = np.stack(two["x"].to_numpy())
-            members = []
-            for numbers in np.stack(two["own"].to_numpy()).T:
-                others, codes = np.unique(numbers, return_inverse=True)
-                members.append((others, np.eye(len(others))[codes]))
+            (x, own_x, in_x), (y, own_y, in_y) = members(one), members(two)
+            back = [np.zeros((len(y), len(others))) for others, _ in in_x]
             step = max(1, 4_000_000 // len(two))
             for start in range(0, len(one), step):
-                piece = one.iloc[start:start + step]
-                x, own = np.stack(piece["x"].to_numpy()), np.stack(piece["own"].to_numpy())
-                squares = np.zeros((len(x), len(y)))
-                for column in range(y.shape[1]):
-                    gap = x[:, column, None] - y[None, :, column]
-                    squares += gap * gap
-                distances = np.sqrt(squares)
-                for c, (others, member) in enumerate(members):
-                    found.append((np.repeat(piece["i"].to_numpy(), len(others)), np.repeat(own[:, c], len(others)),
-                                  np.tile(others, len(piece)), (distances @ member).ravel()))
+                piece = slice(start, start + step)
+                distances = _distances(x[piece], y)
+                for c, (others, member) in enumerate(in_y):
+                    add(one["i"].to_numpy()[piece], own_x[piece, c], others, distances @ member)
+                    if key[0] != key[1]:
+                        back[c] += distances.T @ in_x[c][1][piece]
+            if key[0] != key[1]:
+                for c, (others, _) in enumerate(in_x):
+                    add(two["i"].to_numpy(), own_y[:, c], others, back[c])
         names = ["i", "own", "other", "total"]
         return pd.DataFrame({name: np.concatenate([part[at] for part in found]) if found else np.array([])
                              for at, name in enumerate(names)})
@@ -210,8 +239,9 @@ def silhouette(df: DataFrame, columns: Sequence[str], label: str = "label", bloc
     """Mean Euclidean silhouette over all rows, exact.
 
     Every row meets every other one, so the work grows with the square of the rows. Rows are dealt
-    into g groups and each of the g x g pairs of groups is one task of bounded size; a task gives only
-    sums per row and cluster. For more rows than that allows use `squared_silhouette`.
+    into g groups and each unordered pair of groups is worked out once, in a task of bounded size that gives
+    only sums per row and cluster. Groups have `block_rows` rows, and more, up to BLOCK_ROWS, where there would be
+    over GROUPS of them, as every row is sent to each. For more rows than that allows use `squared_silhouette`.
     """
     return _silhouette(df, columns, [label], block_rows).drop("clustering")
 

@@ -122,3 +122,26 @@ def test_copies_of_a_spread_join_count_towards_a_broadcast(spark):
         assert "BroadcastHashJoin" not in plan(joined)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_silhouette_visits_each_pair_once_and_sends_a_row_to_few_groups(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(rng.gauss(i % 3, 0.5) + 1e4, rng.gauss(0, 1), i % 3) for i in range(300)] + [(1e4, 0.0, 1), (1e4, 0.0, 2)]
+    df = spark.createDataFrame(rows, "a double, b double, label int").repartition(5)
+    sent = []
+    monkeypatch.setattr(clustering, "GROUPS", 6)
+    real = clustering.F.sequence
+    monkeypatch.setattr(clustering.F, "sequence", lambda *ends: sent.append(ends) or real(*ends))
+    score = clustering.silhouette(df, ["a", "b"], block_rows=2)
+    assert "6" in str(sent[0][1]) and sent[0][0] == "a" and sent[1][1] == "b"  # 7 groups, each with those from itself on
+    whole = [(r.a, r.b, r.label) for r in df.collect()]
+    distance = lambda p, q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
+    total = 0.0
+    for at, p in enumerate(whole):
+        means = {}
+        for label in range(3):
+            others = [distance(p, q) for n, q in enumerate(whole) if n != at and q[2] == label]
+            means[label] = sum(others) / len(others)
+        own, other = means.pop(p[2]), min(means.values())
+        total += (other - own) / max(own, other)
+    assert abs(score.first()[0] - total / len(whole)) < 1e-10
