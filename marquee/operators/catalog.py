@@ -26,12 +26,11 @@ NO_DATE = "—"
 
 def pick_image(images: Column, ratio: str, min_width: int = 0) -> Column:
     """URL of the widest image of that ratio and width, else of the widest one; ties go to the first."""
-    numbered = F.transform(images, lambda image, i: F.struct(
-        F.coalesce(image["width"], F.lit(0)).alias("width"), (-i).alias("order"), image["url"].alias("url"),
-        image["ratio"].alias("ratio")))
-    wanted = F.filter(numbered, lambda image: (image["ratio"] == ratio) & (image["width"] >= min_width))
-    pool = F.when(F.size(wanted) > 0, wanted).otherwise(numbered)
-    return F.array_max(pool)["url"]
+    # One pass: Spark would work out a list that several parts of an expression name once for each of them.
+    ranked = F.transform(images, lambda image, i: F.struct(
+        F.coalesce((image["ratio"] == ratio) & (F.coalesce(image["width"], F.lit(0)) >= min_width), F.lit(False)).alias("wanted"),
+        F.coalesce(image["width"], F.lit(0)).alias("width"), (-i).alias("order"), image["url"].alias("url")))
+    return F.array_max(ranked)["url"]
 
 
 def _coordinate(text: Column) -> Column:

@@ -145,3 +145,12 @@ def test_silhouette_visits_each_pair_once_and_sends_a_row_to_few_groups(spark, m
         own, other = means.pop(p[2]), min(means.values())
         total += (other - own) / max(own, other)
     assert abs(score.first()[0] - total / len(whole)) < 1e-10
+
+
+def test_an_image_is_picked_in_one_pass_over_the_list(spark):
+    df = spark.createDataFrame([([("4_3", 9, "a"), ("16_9", 1, "b"), (None, 5, "c"), ("16_9", None, "d"), ("16_9", 1, "e")],), ([],), (None,)],
+                               "images array<struct<ratio string, width long, url string>>")
+    from marquee.operators.catalog import pick_image
+    for least, urls in ((0, ["b", None, None]), (2, ["a", None, None])):
+        picked = df.select(pick_image(F.col("images"), "16_9", least).alias("url"))
+        assert [r.url for r in picked.collect()] == urls and plan(picked).count("transform(") == 1
