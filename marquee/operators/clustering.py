@@ -151,7 +151,7 @@ def _silhouette(df: DataFrame, columns: Sequence[str], labels: Sequence[str], bl
         F.array(*[F.col(name).cast("double") for name in columns]).alias("x"))
     rows = durable(rows)  # the row numbers must not change between the two sides
     n_rows = rows.count()
-    g = max(1, math.ceil(n_rows / max(block_rows, min(BLOCK_ROWS, n_rows // GROUPS))))
+    g = max(1, math.ceil(n_rows / max(block_rows, min(BLOCK_ROWS, math.ceil(n_rows / GROUPS)))))
     # Both sides must have the same type for a and b, or their groups do not meet.
     part = F.pmod(F.xxhash64("i"), F.lit(g)).cast("int")
     left = rows.withColumn("a", part).withColumn("b", F.explode(F.sequence("a", F.lit(g - 1))))

@@ -133,7 +133,7 @@ def test_silhouette_visits_each_pair_once_and_sends_a_row_to_few_groups(spark, m
     real = clustering.F.sequence
     monkeypatch.setattr(clustering.F, "sequence", lambda *ends: sent.append(ends) or real(*ends))
     score = clustering.silhouette(df, ["a", "b"], block_rows=2)
-    assert "6" in str(sent[0][1]) and sent[0][0] == "a" and sent[1][1] == "b"  # 7 groups, each with those from itself on
+    assert "5" in str(sent[0][1]) and sent[0][0] == "a" and sent[1][1] == "b"  # 6 groups, each with those from itself on
     whole = [(r.a, r.b, r.label) for r in df.collect()]
     distance = lambda p, q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
     total = 0.0
