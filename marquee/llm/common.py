@@ -9,9 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.scale import durable
+from marquee.scale import durable, passing
 
-__all__ = ["SPACE", "WORD", "durable", "fresh", "ids_as_text", "plain_text", "release", "table", "through_python", "words_in"]
+__all__ = ["SPACE", "WORD", "durable", "fresh", "ids_as_text", "passing", "plain_text", "release", "table", "through_python", "words_in"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"

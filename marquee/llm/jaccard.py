@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import durable, fresh, through_python
+from marquee.llm.common import durable, fresh, passing, release, through_python
 from marquee.llm.components import components
 from marquee.llm.shingles import mixed, shingle_sets
 from marquee.scale import top_per_key
@@ -273,10 +273,12 @@ def _lists(nodes: DataFrame, whole: Whole, least: int, frequent: np.ndarray, hot
     rows = nodes.select("node", "n", "tokens").mapInPandas(of_kept, packed)
     if len(frequent):
         lacking = durable(nodes.select("node", "n", "tokens").mapInPandas(lacks, "node bigint"))
+        release(nodes.sparkSession)
         sets = whole(lacking).join(lacking, "node", "left_semi")
         rows = rows.unionByName(sets.mapInPandas(of_texts, packed))
-    found = rows.repartition(parts, "part").mapInPandas(scan, "token bigint, node bigint, last bigint")
-    return durable(found).join(nodes.select("node", "n"), "node").select("token", "node", "n", "last")
+    found = durable(rows.repartition(parts, "part").mapInPandas(scan, "token bigint, node bigint, last bigint"))
+    release(nodes.sparkSession)
+    return found.join(nodes.select("node", "n"), "node").select("token", "node", "n", "last")
 
 
 @lru_cache(maxsize=64)
@@ -524,6 +526,7 @@ def _open_links(rows: DataFrame, whole: Whole) -> DataFrame:
 
     part = "low boolean, part bigint, home bigint, step bigint, i bigint, j bigint"
     checked = durable(_by_cell(cells.join(full, "node"), key, told, f"node bigint, {part}"))
+    release(rows.sparkSession)
     sets = whole(checked).withColumnRenamed("tokens", "whole")
     return _by_cell(checked.join(full, "node").join(sets, "node"), key, linked, "u bigint, v bigint")
 
@@ -581,16 +584,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.count("*").alias("c")).collect()}
     small = boundary(sizes)
     frequent, hot = _frequent(nodes, parts)
+    release(docs.sparkSession)  # here and below: every large step starts without the shuffles of those before
 
     def whole(wanted: DataFrame) -> DataFrame:
         return _sets(docs, id_col, text_col, _sieves(wanted, firsts))
 
     lists = durable(_lists(nodes, whole, -(-NUMERATOR * (small + 1) // DENOMINATOR), frequent, hot, parts))
+    release(docs.sparkSession)
     labels = durable(components(_subset_links(nodes, small)))
     for salt in range(ROUNDS):
         lists = _in_mixed_lists(lists, labels)
         labels = _joined(labels, _true_links(_blocked(durable(_with_leaders(lists, salt))), whole))
         lists = lists.drop("label", "home")
+        release(docs.sparkSession)
     labels = _joined(labels, _open_links(_in_mixed_lists(lists, labels), whole))
     of_label = durable(labels.join(firsts, "node").groupBy("label").agg(F.min("first").alias("component")))
     settled = durable(firsts.join(labels, "node", "left").join(of_label, "label", "left").select(
@@ -607,7 +613,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     row = fresh(docs, "row")
     stored = durable(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = durable(near_groups(stored, row, text_col).select(row, F.col("component_id").alias("_component")))
+    release(docs.sparkSession)  # what the stages before have shuffled
+    with passing(docs.sparkSession):
+        groups = durable(near_groups(stored, row, text_col).select(row, F.col("component_id").alias("_component")))
+    release(docs.sparkSession)
     # Only rows of components of several rows can go; near all others skip the sort.
     several = groups.groupBy("_component").agg(F.count("*").alias("_n")).filter("_n > 1").select("_component")
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,6 +61,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{context.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_passing: ContextVar[list[str] | None] = ContextVar("_passing", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that `durable` stores inside are deleted at the end, so nothing that outlives it may read them.
+
+    A table that is to stay is stored by `durable` after all others, as the last one inside.
+    """
+    stored: list[str] = []
+    token = _passing.set(stored)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for name in stored[:-1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the checkpoint folder and go on from there.
 
@@ -67,6 +89,8 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    if (stored := _passing.get()) is not None:
+        stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
