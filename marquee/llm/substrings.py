@@ -289,6 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, n_bytes // 40_000_000 + 1)
     sieve = _sieve(rows, 2 ** min(12, max(3, int(n_bytes // 100_000_000).bit_length() + 2)))
+    release(docs.sparkSession)  # what the sieve has shuffled need not lie beside the entries
     stored = durable(_spans(_entries(rows, sieve), shards))
     release(docs.sparkSession)
     spans = stored.groupBy("doc", "print").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))

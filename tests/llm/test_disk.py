@@ -4,7 +4,7 @@ import os
 import random
 import time
 
-from marquee.llm import common, jaccard
+from marquee.llm import common, jaccard, substrings
 
 
 def shuffled(spark):
@@ -30,6 +30,16 @@ def passages(n):
     return [(i, texts[i % len(texts)] + " " + " ".join(rng.choices(words, k=i % 3))) for i in range(n)]
 
 
+def test_substrings_drop_the_shuffles_of_the_sieve(spark, monkeypatch):
+    docs = spark.createDataFrame(passages(400), "doc_id long, text string").repartition(4)
+    docs = common.durable(docs)
+    common.release(spark)
+    before, left, entries = shuffled(spark), [], substrings._entries
+    monkeypatch.setattr(substrings, "_entries", lambda rows, sieve: left.append(settles(spark, before)) or entries(rows, sieve))
+    substrings.remove_repeats(docs)
+    assert left == [True]
+
+
 def test_near_copies_leave_neither_shuffles_nor_tables_behind(spark, monkeypatch):
     docs = common.durable(spark.createDataFrame(passages(400), "doc_id long, text string").repartition(4))
     common.release(spark)
