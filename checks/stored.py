@@ -110,9 +110,9 @@ def _(t: Tables):
     staged = durable(t.staged())
     key = F.col("interaction_id").cast("bigint")
     stray = (F.lit("1970-01-01").cast("timestamp") + F.make_dt_interval(hours=(key % 48).cast("int")))
-    old = marts.latest_interactions(staged.filter(key % 3 != 0)).withColumn(
-        "ingestion_timestamp", F.when(key % 97 == 0, stray).otherwise(F.col("ingestion_timestamp")))
-    marts.write_fact(marts.fact_projection(marts.enrich_fact(old, t.catalog())), path)
+    old = durable(marts.latest_interactions(staged.filter(key % 3 != 0)).withColumn(
+        "ingestion_timestamp", F.when(key % 97 == 0, stray).otherwise(F.col("ingestion_timestamp"))))
+    marts.write_fact(marts.stored_fact(old, t.catalog()), path)
     arrivals = staged.filter(key % 3 == 0).unionByName(old.filter(key % 97 == 0))
     for run in ("one", "two"):
         marts.merge_by_index(t.spark, path, arrivals, t.catalog(), work, run)

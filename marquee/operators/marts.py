@@ -165,7 +165,7 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _enriched(chosen: DataFrame, catalog: DataFrame) -> DataFrame:
+def stored_fact(chosen: DataFrame, catalog: DataFrame) -> DataFrame:
     """Fact rows of stored arrivals. Only the events that they name are taken from the catalogue."""
     named = catalog.join(chosen.select(F.col("event_id").alias("id")).distinct(), "id", "left_semi")
     return fact_projection(enrich_fact(chosen, named))
@@ -191,7 +191,7 @@ def merge_into_path(spark: SparkSession, path: str, source: DataFrame, catalog:
     old_days = target.filter(inside).join(chosen.select("interaction_id"), "interaction_id", "left_semi").select("ingestion_date")
     touched = _days(old_days.union(chosen.select(F.to_date("ingestion_timestamp"))))
     if touched:
-        _publish_days(spark, path, target, touched, _stored(_enriched(chosen, catalog), f"{work}/updates"), inside, work, run_id)
+        _publish_days(spark, path, target, touched, _stored(stored_fact(chosen, catalog), f"{work}/updates"), inside, work, run_id)
     return touched
 
 
@@ -270,6 +270,6 @@ def merge_by_index(spark: SparkSession, path: str, source: DataFrame, catalog: D
     chosen = newest.join(stale.filter("done"), "interaction_id", "left_anti")
     touched = _days(stale.filter("NOT done").select("held_day").union(chosen.select(F.to_date("ingestion_timestamp"))))
     if touched:
-        updates = _stored(_enriched(chosen, catalog), f"{work}/updates")
+        updates = _stored(stored_fact(chosen, catalog), f"{work}/updates")
         _publish_days(spark, path, read_fact(spark, path), touched, updates, F.lit(True), work, run_id)
     return touched

@@ -7,6 +7,8 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from checks.base import QUERIES
+import checks.stored  # noqa: F401
 from marquee.operators import marts
 from marquee.schemas import FACT
 from marquee.sources import commits, stored
@@ -217,3 +219,12 @@ def test_erasure_compares_no_id_with_every_file(spark, tmp_path):
     holding = sorted(row[0] for row in files.join(ids, "id").select("file").distinct().collect())
     assert stored.files_with(spark, path, "user_id", ids) == holding and 0 < len(holding) < 12
     assert stored.files_with(spark, path, "user_id", ids.select(F.concat("id", F.lit("x")))) == []
+
+
+def test_the_stored_fact_repeats_only_events_that_are_named(spark, monkeypatch):
+    taken, spread = [], marts.spread_join
+    monkeypatch.setattr(marts, "spread_join", lambda left, right, keys: taken.append((left, right)) or spread(left, right, keys))
+    QUERIES["merge_by_index"](spark, "/root/testdata/sf0.001")
+    left, right = taken[0]
+    named = {row[0] for row in left.select("event_id").distinct().collect()}
+    assert {row[0] for row in right.select("event_id").collect()} <= named
