@@ -4,6 +4,9 @@ import os
 import random
 import time
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from marquee.llm import common, jaccard, substrings
 
 
@@ -50,3 +53,20 @@ def test_near_copies_leave_neither_shuffles_nor_tables_behind(spark, monkeypatch
     kept = jaccard.keep_one(docs)
     assert left == [True] and len(set(os.listdir(folder)) - tables) == 2  # the rows with their numbers, and their groups
     assert kept.count() == 200
+
+
+def test_the_sieve_of_substrings_fills_evenly_and_keeps_unique_grams_out(spark):
+    rng = random.Random(8)
+    once, twice = (["".join(rng.choices("abcdefghij ", k=4_000)) for _ in range(n)] for n in (400, 100))
+    docs = spark.createDataFrame(list(enumerate(once + twice + twice)), "doc_id long, text string").repartition(4)
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("print"), "text")
+    sieve = substrings._sieve(rows, 8, 16)
+    eighths = np.unpackbits(sieve).reshape(8, -1).sum(axis=1)
+    assert eighths.min() > 0.8 * eighths.max()
+    sent = substrings._entries(rows.filter(F.col("doc") < len(once)), sieve).filter("gram is not null").count()
+    anchors = sum(len(substrings.anchors(np.frombuffer(text.encode(), np.uint8))[0]) for text in once)
+    assert sent < 1.1 * anchors * eighths.sum() / 2**16
+
+
+def test_the_sieve_of_substrings_grows_with_the_text_up_to_a_size():
+    assert [substrings._sieve_bits(n) for n in (0, 1 << 30, (1 << 30) + 1, 1 << 32, 1 << 45)] == [27, 27, 28, 29, 29]
