@@ -43,7 +43,7 @@ SPAN = LENGTH - GRAM + 1
 #: Window starts handled in one go; longer texts are taken in pieces.
 PIECE = 1 << 20
 #: Least and most bits of the sieve, as powers of two, and entries sorted together.
-SIEVE, HELD = (27, 29), 60_000
+SIEVE, HELD = (27, 30), 60_000
 ENTRY = "gram bigint, right binary, left binary, least int, doc bigint, print bigint, anchor bigint"
 LAST = 2**63 - 1
 

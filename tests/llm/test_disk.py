@@ -69,4 +69,4 @@ def test_the_sieve_of_substrings_fills_evenly_and_keeps_unique_grams_out(spark):
 
 
 def test_the_sieve_of_substrings_grows_with_the_text_up_to_a_size():
-    assert [substrings._sieve_bits(n) for n in (0, 1 << 30, (1 << 30) + 1, 1 << 32, 1 << 45)] == [27, 27, 28, 29, 29]
+    assert [substrings._sieve_bits(n) for n in (0, 1 << 30, (1 << 30) + 1, 1 << 32, 1 << 33, 1 << 45)] == [27, 27, 28, 29, 30, 30]
