@@ -30,6 +30,9 @@ from marquee.llm.common import durable, through_python
 
 #: Documents of each class in the fitted sample.
 SAMPLE = 2500
+#: Files that hold the sample, however many partitions a shuffle has. On a local disk an executor starts a process (chmod) for
+#: each file, which for an instant counts with all of the executor's memory.
+PARTS = 12
 #: Of every FOLDS documents, by a hash of the id, one is held out.
 FOLDS = 5
 #: Lengths of the beginnings of words that are features beside the words themselves.
@@ -131,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.filter(F.col("label") == 1).orderBy(*order).limit(sample).unionByName(
         known.filter(F.col("label") == 0).orderBy(*order).limit(sample))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = durable(texts.join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text")))
+    rows = durable(texts.join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text")).coalesce(PARTS))
     n0, n1 = (rows.filter(F.col("label") == c).count() for c in (0, 1))
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from marquee.llm import common, jaccard, substrings
+from marquee.llm import common, jaccard, substrings, toxicity
 
 
 def shuffled(spark):
@@ -70,3 +70,23 @@ def test_the_sieve_of_substrings_fills_evenly_and_keeps_unique_grams_out(spark):
 
 def test_the_sieve_of_substrings_grows_with_the_text_up_to_a_size():
     assert [substrings._sieve_bits(n) for n in (0, 1 << 30, (1 << 30) + 1, 1 << 32, 1 << 33, 1 << 45)] == [27, 27, 28, 29, 30, 30]
+
+
+def test_the_sample_of_toxicity_is_few_files_however_many_partitions_a_shuffle_has(spark):
+    texts = [(i, text + " vilebad" * (i % 5 == 0)) for i, text in passages(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    few, tables = toxicity.train(docs, labels), set(os.listdir(folder))
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in many}
+    try:
+        for name, value in many.items():
+            spark.conf.set(name, value)
+        model = toxicity.train(docs, labels)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    (made,) = set(os.listdir(folder)) - tables
+    assert 1 < sum(name.endswith(".parquet") for name in os.listdir(os.path.join(folder, made))) <= toxicity.PARTS
+    assert few.weights and model == few
